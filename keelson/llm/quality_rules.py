@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from keelson.llm.common import per_document, table
 
 #: Largest share of word characters inside repeated n-grams, by n-gram length.
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 #: Largest share of word characters inside lines equal to an earlier line.
-LINE_LIMIT = 0.20
+LINE_LIMIT = 0.30
 MIN_WORDS = 10
 BASE_WINDOW = 5
 BASE_REPEAT_PERCENT = 20
