@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from keelson.llm.decontam import op2_decontamination
 from keelson.llm.mixing import op5_mixing
 from keelson.llm.near_dup import op9_simhash_near_dup
 from keelson.llm.quality_rules import op7_quality_rules
 from keelson.llm.sharding import op8_sharding
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_quality_rules, op8_sharding, op9_simhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_mixing, op7_quality_rules, op8_sharding, op9_simhash_near_dup)}
 
 ORACLE_SQL: dict[str, str] = {}
