@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from keelson.llm import secret_scan, url_filter
 from keelson.llm.decontam import op2_decontamination
+from keelson.llm.line_dedup import op6_line_dedup
 from keelson.llm.mixing import op5_mixing
 from keelson.llm.near_dup import op9_simhash_near_dup
 from keelson.llm.quality_rules import op7_quality_rules
@@ -11,7 +12,7 @@ from keelson.llm.secret_scan import op10_secret_scan
 from keelson.llm.sharding import op8_sharding
 from keelson.llm.url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op5_mixing, op7_quality_rules, op8_sharding, op9_simhash_near_dup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op5_mixing, op6_line_dedup, op7_quality_rules, op8_sharding, op9_simhash_near_dup, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     op1_url_filter.__name__: url_filter.ORACLE_SQL,
