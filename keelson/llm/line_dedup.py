@@ -5,10 +5,13 @@ From every line that has words starts a gram: the lines from there on until at l
 start within ``WINDOW_WORDS`` words from a line on, the one of smallest hash is a
 fingerprint. So every run of whole lines with ``GRAM_WORDS + WINDOW_WORDS`` = 50 words
 or more that occurs twice has a fingerprint at equal places in both, whatever stands
-around it. Each fingerprint is joined with the first position of its hash only, which
-is linear in the number of positions; the match is extended line by line both ways,
-and the later copy of the extended run is deleted. First means smallest document key,
-then place in the text, so every deleted line has an equal line that stays.
+around it. Positions are joined on the fingerprint and, to extend the match both ways,
+on the fingerprint together with its nearest 1, 2, 3 ... lines before or after, each
+time with the first position of that key only. This is linear in the number of
+positions, yet finds the longest extension that any earlier copy shares. The later
+copy of the extended run is deleted. First means smallest document key, then place in
+the text, so every deleted line has an equal line that stays. Lines are looked at as
+far from a fingerprint as the next one can be, so runs of any length go whole.
 
 All of it is DataFrame operations. Texts are not shuffled unless so many of them lose
 lines that their list cannot be broadcast.
@@ -29,18 +32,12 @@ from keelson.llm.common import WORD, broadcast_if_small, materialize, table
 
 GRAM_WORDS = 25
 WINDOW_WORDS = 25
+#: Beyond the end of a gram the next fingerprint of a run starts within so many words.
+AFTER_WORDS = GRAM_WORDS + WINDOW_WORDS
 
 _DOC = ("key", "k1", "k2")
 
 
-def _same(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays have equal hashes."""
-    n = F.least(F.size(a), F.size(b))
-    equal = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x["h"] == y["h"])
-    first = F.array_position(equal, False)
-    return F.when(first > 0, first - 1).otherwise(n).cast("int")
-
-
 def _identified(docs: DataFrame, key: str, text: str) -> list[Column]:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return [
@@ -61,49 +58,59 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = lines.withColumn("upto", F.sum("words").over(running)).withColumn("s", F.col("upto") - F.col("words"))
     lines = lines.withColumn("total", F.max("upto").over(doc))
     by_word = doc.orderBy("s")
-    line = F.struct("h", "pos")
-    gram = F.collect_list(line).over(by_word.rangeBetween(0, GRAM_WORDS - 1))
-    lines = lines.select(
-        *_DOC,
-        "pos",
-        "s",
-        gram.alias("lines"),
-        F.reverse(F.collect_list(line).over(by_word.rangeBetween(-WINDOW_WORDS, -1))).alias("before"),
-        F.collect_list(line).over(by_word.rangeBetween(GRAM_WORDS, GRAM_WORDS + WINDOW_WORDS - 1)).alias("after"),
-        (F.col("s") + GRAM_WORDS <= F.col("total")).alias("whole"),
-    )
+    line = F.struct("h", "pos", "s", "upto")
+    ahead = F.collect_list(line).over(doc.orderBy("pos").rowsBetween(0, GRAM_WORDS + AFTER_WORDS - 1))
+    behind = F.collect_list(line).over(by_word.rangeBetween(-WINDOW_WORDS, -1))
+    lines = lines.select(*_DOC, "pos", "s", (F.col("s") + GRAM_WORDS <= F.col("total")).alias("whole"), ahead.alias("ahead"), behind.alias("behind"))
+    lines = lines.withColumn("lines", F.filter("ahead", lambda x: x["s"] < F.col("s") + GRAM_WORDS))
     lines = lines.withColumn("gram", F.when(F.col("whole"), F.xxhash64(F.transform("lines", lambda x: x["h"]))))
     least = F.min(F.when(F.col("whole"), F.struct("gram", "pos"))).over(by_word.rangeBetween(0, WINDOW_WORDS - 1))
     lines = lines.withColumn("least", least["pos"])
     # A line is a fingerprint if it is the minimum of a window that starts at most so far before it.
     chosen = F.array_contains(F.collect_set("least").over(by_word.rangeBetween(-(WINDOW_WORDS - 1), 0)), F.col("pos"))
-    end = F.element_at("lines", -1)["pos"]
+    last = F.element_at("lines", -1)
+    slim = lambda x: F.struct(x["h"].alias("h"), x["pos"].alias("pos"))
+    after = F.filter("ahead", lambda x: (x["s"] >= last["upto"]) & (x["s"] < last["upto"] + AFTER_WORDS))
     return (
         lines.withColumn("chosen", chosen)
         .where(F.col("chosen") & F.col("whole"))
-        .select(*_DOC, "gram", "pos", end.alias("end"), "before", "after")
+        .select(
+            *_DOC,
+            "gram",
+            "pos",
+            last["pos"].alias("end"),
+            F.transform(F.reverse("behind"), slim).alias("before"),
+            F.transform(after, slim).alias("after"),
+        )
+    )
+
+
+def _around(side: int, lines: str) -> Column:
+    """For each number of lines next to the gram: the side, a hash of them and the place of the farthest."""
+    return F.transform(
+        lines,
+        lambda x, i: F.struct(
+            F.lit(side).alias("side"),
+            F.xxhash64(F.transform(F.slice(F.col(lines), F.lit(1), i + 1), lambda y: y["h"])).alias("near"),
+            x["pos"].alias("reach"),
+        ),
     )
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, k1, k2, first, last): disjoint line ranges to delete, by document."""
     marks = materialize(fingerprints(docs, key, text))
+    twice = marks.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g"))
+    itself = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("near"), F.col("pos").alias("reach")))
+    keys = F.concat(itself, _around(1, "before"), _around(2, "after"))
+    found = marks.join(twice, F.col("gram") == F.col("g")).select(*_DOC, "gram", "pos", "end", F.explode(keys).alias("k"))
+    found = materialize(found.select(*_DOC, "gram", "pos", "end", "k.*"))
+    by = ["gram", "side", "near"]
     place = F.struct(*[F.col(c) for c in (*_DOC, "pos")])
-    firsts = marks.groupBy("gram").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select(F.col("gram").alias("g"), *[F.col("place")[c].alias(f"first_{c}") for c in (*_DOC, "pos")])
-    found = materialize(marks.join(firsts, F.col("gram") == F.col("g")))
-    is_first = F.col("pos") == F.col("first_pos")
-    for c in _DOC:
-        is_first &= F.col(c).eqNullSafe(F.col(f"first_{c}"))
-    origin = found.where(is_first).select(F.col("gram").alias("g0"), F.col("before").alias("before0"), F.col("after").alias("after0"))
-    later = found.where(~is_first).drop("g")
-    met = later.join(origin, F.col("gram") == F.col("g0"))
-    met = met.withColumn("back", _same(F.col("before"), F.col("before0"))).withColumn("on", _same(F.col("after"), F.col("after0")))
-    runs = met.select(
-        *_DOC,
-        F.when(F.col("back") > 0, F.try_element_at("before", F.col("back"))["pos"]).otherwise(F.col("pos")).alias("first"),
-        F.when(F.col("on") > 0, F.try_element_at("after", F.col("on"))["pos"]).otherwise(F.col("end")).alias("last"),
-    ).distinct()
+    firsts = found.groupBy(*by).agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
+    met = found.join(firsts, by).where(place != F.col("place"))
+    runs = met.groupBy(*_DOC, "pos", "end").agg(F.min("reach").alias("low"), F.max("reach").alias("high"))
+    runs = runs.select(*_DOC, F.least("pos", "low").alias("first"), F.greatest("end", "high").alias("last"))
     # Merge overlapping and touching ranges of a document.
     order = Window.partitionBy(*_DOC).orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
