@@ -11,9 +11,10 @@ from keelson.llm.quality_classifier import op3_quality_classifier
 from keelson.llm.quality_rules import op7_quality_rules
 from keelson.llm.secret_scan import op10_secret_scan
 from keelson.llm.sharding import op8_sharding
+from keelson.llm.suffix_tree_lm import op4_suffix_tree_lm
 from keelson.llm.url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_quality_classifier, op5_mixing, op6_line_dedup, op7_quality_rules, op8_sharding, op9_simhash_near_dup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_quality_classifier, op4_suffix_tree_lm, op5_mixing, op6_line_dedup, op7_quality_rules, op8_sharding, op9_simhash_near_dup, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     op1_url_filter.__name__: url_filter.ORACLE_SQL,
