@@ -11,7 +11,7 @@ from collections.abc import Callable
 from datetime import date, datetime
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions import sketches
@@ -128,7 +128,12 @@ class Context:
         return _table(name)(self.spark, self.sf_dir)
 
 
-_N = F.count(F.lit(1)).alias("n")
+
+
+def _n() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+
 _LINE = ["l_orderkey", "l_linenumber", "l_suppkey"]
 _SUPP = ["l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"]
 
@@ -159,7 +164,7 @@ def _no_false_negative(c: Context) -> DataFrame:
     rows = p.data().select("l_suppkey", F.col("_metadata.file_name").alias("file"), F.floor(F.col("_metadata.row_index") / LEAF_ROWS).alias("part"))
     rows = rows.join(F.broadcast(first), "file").withColumn("leaf", F.col("first") + F.col("part")).drop("file")
     missed = rows.join(leaves.select("leaf", "bloom"), "leaf").where(~sketches.might_contain(F.col("bloom"), F.col("l_suppkey"), p.options.bloom_nhash))
-    return missed.agg(_N)
+    return missed.agg(_n())
 
 
 def _chosen(c: Context) -> DataFrame:
@@ -290,8 +295,8 @@ def _scans() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
             lambda c: c.scan("orders_key", eq("o_orderkey", None), columns=["o_orderkey", "o_custkey"]),
             "select o_orderkey, o_custkey from orders where o_orderkey = null",
         ),
-        "is_null": (lambda c: c.scan("orders_key", is_null("o_orderkey")).agg(_N), "select count(*) n from orders where o_orderkey is null"),
-        "is_not_null": (lambda c: c.scan("orders_key", is_not_null("o_orderkey")).agg(_N), "select count(*) n from orders where o_orderkey is not null"),
+        "is_null": (lambda c: c.scan("orders_key", is_null("o_orderkey")).agg(_n()), "select count(*) n from orders where o_orderkey is null"),
+        "is_not_null": (lambda c: c.scan("orders_key", is_not_null("o_orderkey")).agg(_n()), "select count(*) n from orders where o_orderkey is not null"),
         "cross_type_compare": (
             lambda c: c.scan("part_size", ge("p_size", 40), columns=["p_size", "p_partkey"]),
             "select p_size, p_partkey from part where p_size >= cast(40 as bigint)",
@@ -324,7 +329,7 @@ def _types() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
             "select c_name, c_custkey from customer where c_name >= 'Customer#000000100' and c_name < 'Customer#000000200'",
         ),
         "text_eq_group": (
-            lambda c: c.scan("orders_priority", ge("o_orderpriority", "2")).groupBy("o_orderpriority").agg(_N),
+            lambda c: c.scan("orders_priority", ge("o_orderpriority", "2")).groupBy("o_orderpriority").agg(_n()),
             "select o_orderpriority, count(*) n from orders where o_orderpriority >= '2' group by 1",
         ),
         "text_int_two_key": (
@@ -340,20 +345,20 @@ def _types() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
             "select ts, event_id from events where ts >= timestamp '2024-01-10 00:00:00' and ts < timestamp '2024-01-12 00:00:00'",
         ),
         "date_range": (
-            lambda c: c.scan("orders_day", between("d", date(1996, 6, 1), date(1996, 6, 30))).groupBy(F.col("d").cast("string").alias("d")).agg(_N),
+            lambda c: c.scan("orders_day", between("d", date(1996, 6, 1), date(1996, 6, 30))).groupBy(F.col("d").cast("string").alias("d")).agg(_n()),
             "select cast(d as varchar) d, count(*) n from (select cast(o_orderdate as date) d from orders) where d between date '1996-06-01' and date '1996-06-30' group by d",
         ),
-        "bool_key": (lambda c: c.scan("labels_quality").groupBy("k").agg(_N), "select k, count(*) n from (select quality = 1 k from labels where quality is not null) group by k"),
-        "bool_eq": (lambda c: c.scan("labels_quality", eq("k", False)).agg(_N), "select count(*) n from labels where quality <> 1"),
+        "bool_key": (lambda c: c.scan("labels_quality").groupBy("k").agg(_n()), "select k, count(*) n from (select quality = 1 k from labels where quality is not null) group by k"),
+        "bool_eq": (lambda c: c.scan("labels_quality", eq("k", False)).agg(_n()), "select count(*) n from labels where quality <> 1"),
         "float_key": (lambda c: c.scan("events_value", gt("value", 50.5)), "select value, event_id from events where value > 50.5"),
         "uuid_range": (
             lambda c: c.scan("events_uuid", ge("u", "c0000000-0000-0000-0000-000000000000")),
             f"select u, event_id from {_UUID_SQL} where u >= 'c0000000-0000-0000-0000-000000000000'",
         ),
-        "uuid_all": (lambda c: c.scan("events_uuid", ge("u", "00000000-0000-0000-0000-000000000000")).agg(_N), "select count(*) n from events"),
+        "uuid_all": (lambda c: c.scan("events_uuid", ge("u", "00000000-0000-0000-0000-000000000000")).agg(_n()), "select count(*) n from events"),
         "money_sum": (
             lambda c: c.scan("customer_money", ge("m", Decimal("100.00"))).agg(
-                (F.sum("m") * 100).cast("bigint").alias("cents"), _N
+                (F.sum("m") * 100).cast("bigint").alias("cents"), _n()
             ),
             "select cast(sum(cast(c_acctbal as decimal(19,2))) * 100 as bigint) cents, count(*) n from customer where cast(c_acctbal as decimal(19,2)) >= 100.00",
         ),
@@ -375,9 +380,9 @@ def _types() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
 def _aggregates() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
     supp = "lineitem_supp"
     return {
-        "agg_count": (lambda c: c.scan(supp, ge("l_suppkey", 50)).agg(_N), "select count(*) n from lineitem where l_suppkey >= 50"),
+        "agg_count": (lambda c: c.scan(supp, ge("l_suppkey", 50)).agg(_n()), "select count(*) n from lineitem where l_suppkey >= 50"),
         "agg_sum": (
-            lambda c: c.scan(supp, between("l_suppkey", 10, 20)).agg(F.sum("l_partkey").alias("s"), _N),
+            lambda c: c.scan(supp, between("l_suppkey", 10, 20)).agg(F.sum("l_partkey").alias("s"), _n()),
             "select cast(sum(l_partkey) as bigint) s, count(*) n from lineitem where l_suppkey between 10 and 20",
         ),
         "agg_sums": (
@@ -389,7 +394,7 @@ def _aggregates() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
             "select min(l_orderkey) mn, max(l_orderkey) mx, min(l_linenumber) mn2 from lineitem where l_suppkey = 9",
         ),
         "agg_avg": (
-            lambda c: c.scan(supp, eq("l_suppkey", 5)).agg(_N, F.round(F.avg(F.col("l_linenumber").cast("double")), 6).alias("a")),
+            lambda c: c.scan(supp, eq("l_suppkey", 5)).agg(_n(), F.round(F.avg(F.col("l_linenumber").cast("double")), 6).alias("a")),
             "select count(*) n, round(avg(cast(l_linenumber as double)), 6) a from lineitem where l_suppkey = 5",
         ),
         "agg_count_distinct": (
@@ -397,16 +402,16 @@ def _aggregates() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
             "select count(distinct l_suppkey) n from lineitem where l_orderkey >= 10000",
         ),
         "agg_filter": (
-            lambda c: c.scan(supp, gt("l_suppkey", 50)).agg(F.count_if(F.col("l_returnflag") == "R").alias("r"), _N),
+            lambda c: c.scan(supp, gt("l_suppkey", 50)).agg(F.count_if(F.col("l_returnflag") == "R").alias("r"), _n()),
             "select count(*) filter (where l_returnflag = 'R') r, count(*) n from lineitem where l_suppkey > 50",
         ),
-        "group_key": (lambda c: c.scan(supp).groupBy("l_suppkey").agg(_N), "select l_suppkey, count(*) n from lineitem group by 1"),
+        "group_key": (lambda c: c.scan(supp).groupBy("l_suppkey").agg(_n()), "select l_suppkey, count(*) n from lineitem group by 1"),
         "group_key_includes": (
-            lambda c: c.scan(supp).groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(_N),
+            lambda c: c.scan(supp).groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(_n()),
             "select l_suppkey, l_returnflag, l_linestatus, count(*) n from lineitem group by 1, 2, 3",
         ),
         "group_include": (
-            lambda c: c.scan("events_user", eq("user_id", 5)).groupBy("event_type").agg(_N),
+            lambda c: c.scan("events_user", eq("user_id", 5)).groupBy("event_type").agg(_n()),
             "select event_type, count(*) n from events where user_id = 5 group by 1",
         ),
         "nested_loop_join": (
@@ -429,7 +434,7 @@ def _aggregates() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
         ),
         "leaf_stats": (lambda c: _leaves(c).select("leaf", "mn", "mx", "n", "d"), f"{_LEAF_SQL} select * from leaves"),
         "leaf_prune": (
-            lambda c: _leaves(c).agg(_N.alias("leaves")).crossJoin(
+            lambda c: _leaves(c).agg(_n().alias("leaves")).crossJoin(
                 F.broadcast(kept_leaves(c["lineitem_order"], between("l_orderkey", 5000, 6000), leaves=_leaves(c)).agg(F.count(F.lit(1)).alias("kept")))
             ),
             f"{_LEAF_SQL} select count(*) leaves, cast(sum(case when mx >= 5000 and mn <= 6000 then 1 else 0 end) as bigint) kept from leaves",
@@ -445,7 +450,7 @@ def _aggregates() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
         ),
         "chooser": (
             _chosen,
-            "select * from (values ('by_supplier', 'lineitem_supp'), ('by_order', 'lineitem_order'), ('uncovered', '')) t(query, projection)",
+            "select * from (values ('by_supplier', 'lineitem_wide'), ('by_order', 'lineitem_order'), ('uncovered', '')) t(query, projection)",
         ),
         "inspect_rows": (lambda c: inspect(c["lineitem_wide"]).select("rows"), "select count(*) as rows from lineitem"),
     }
@@ -456,35 +461,35 @@ def _workloads() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
     wide, key = "lineitem_wide", "orders_key"
     return {
         "hot_metric": (
-            lambda c: c.scan(wide, eq("l_suppkey", 1)).agg(_N, F.round(F.avg("l_quantity"), 6).alias("a")),
+            lambda c: c.scan(wide, eq("l_suppkey", 1)).agg(_n(), F.round(F.avg("l_quantity"), 6).alias("a")),
             "select count(*) n, round(avg(l_quantity), 6) a from lineitem where l_suppkey = 1",
         ),
         "metric_range": (
-            lambda c: c.scan(wide, between("l_suppkey", 1, 10)).agg(_N, F.round(F.avg("l_quantity"), 6).alias("a")),
+            lambda c: c.scan(wide, between("l_suppkey", 1, 10)).agg(_n(), F.round(F.avg("l_quantity"), 6).alias("a")),
             "select count(*) n, round(avg(l_quantity), 6) a from lineitem where l_suppkey between 1 and 10",
         ),
         "recent_orders": (
-            lambda c: c.scan("orders_date", ge("o_orderdate", _day(1998, 1, 1))).agg(_N),
+            lambda c: c.scan("orders_date", ge("o_orderdate", _day(1998, 1, 1))).agg(_n()),
             "select count(*) n from orders where o_orderdate >= timestamp '1998-01-01'",
         ),
         "single_day": (
-            lambda c: c.scan("orders_day", eq("d", date(1996, 6, 15))).agg(_N),
+            lambda c: c.scan("orders_day", eq("d", date(1996, 6, 15))).agg(_n()),
             "select count(*) n from orders where cast(o_orderdate as date) = date '1996-06-15'",
         ),
         "hot_user_group": (
-            lambda c: c.scan("events_user", eq("user_id", 1)).groupBy("event_type").agg(_N),
+            lambda c: c.scan("events_user", eq("user_id", 1)).groupBy("event_type").agg(_n()),
             "select event_type, count(*) n from events where user_id = 1 group by 1",
         ),
-        "user_range": (lambda c: c.scan("events_user", between("user_id", 10, 50)).agg(_N), "select count(*) n from events where user_id between 10 and 50"),
-        "status_eq": (lambda c: c.scan("orders_status", eq("o_orderstatus", "P")).agg(_N), "select count(*) n from orders where o_orderstatus = 'P'"),
-        "status_in": (lambda c: c.scan("orders_status", isin("o_orderstatus", "P", "O")).agg(_N), "select count(*) n from orders where o_orderstatus in ('P', 'O')"),
+        "user_range": (lambda c: c.scan("events_user", between("user_id", 10, 50)).agg(_n()), "select count(*) n from events where user_id between 10 and 50"),
+        "status_eq": (lambda c: c.scan("orders_status", eq("o_orderstatus", "P")).agg(_n()), "select count(*) n from orders where o_orderstatus = 'P'"),
+        "status_in": (lambda c: c.scan("orders_status", isin("o_orderstatus", "P", "O")).agg(_n()), "select count(*) n from orders where o_orderstatus in ('P', 'O')"),
         "point_lookup": (lambda c: c.scan("nation", eq("n_nationkey", 7)), "select n_nationkey, n_name, n_regionkey from nation where n_nationkey = 7"),
-        "half_range": (lambda c: c.scan("nation", ge("n_nationkey", 12)).agg(_N), "select count(*) n from nation where n_nationkey >= 12"),
-        "sel_0_1_percent": (lambda c: c.scan(key, ge("o_orderkey", 14985)).agg(_N), "select count(*) n from orders where o_orderkey >= 14985"),
-        "sel_10_percent": (lambda c: c.scan(key, ge("o_orderkey", 13500)).agg(_N), "select count(*) n from orders where o_orderkey >= 13500"),
-        "include_0": (lambda c: c.scan("lineitem_order_one", ge("l_orderkey", 5000)).agg(_N), "select count(*) n from lineitem where l_orderkey >= 5000"),
+        "half_range": (lambda c: c.scan("nation", ge("n_nationkey", 12)).agg(_n()), "select count(*) n from nation where n_nationkey >= 12"),
+        "sel_0_1_percent": (lambda c: c.scan(key, ge("o_orderkey", 14985)).agg(_n()), "select count(*) n from orders where o_orderkey >= 14985"),
+        "sel_10_percent": (lambda c: c.scan(key, ge("o_orderkey", 13500)).agg(_n()), "select count(*) n from orders where o_orderkey >= 13500"),
+        "include_0": (lambda c: c.scan("lineitem_order_one", ge("l_orderkey", 5000)).agg(_n()), "select count(*) n from lineitem where l_orderkey >= 5000"),
         "include_4": (
-            lambda c: c.scan(wide, ge("l_suppkey", 50)).agg(_N, F.sum("l_orderkey").alias("a"), F.sum("l_partkey").alias("b"), F.sum("l_linenumber").alias("d")),
+            lambda c: c.scan(wide, ge("l_suppkey", 50)).agg(_n(), F.sum("l_orderkey").alias("a"), F.sum("l_partkey").alias("b"), F.sum("l_linenumber").alias("d")),
             "select count(*) n, cast(sum(l_orderkey) as bigint) a, cast(sum(l_partkey) as bigint) b, cast(sum(l_linenumber) as bigint) d from lineitem where l_suppkey >= 50",
         ),
         "desc_100": (lambda c: c.scan("events_id", order="desc", limit=100), "select event_id from events order by event_id desc limit 100"),
@@ -518,11 +523,11 @@ def _workloads() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
             "select o_orderkey, o_custkey from orders where o_orderstatus = 'F' and o_orderkey = 1000",
         ),
         "active_range": (
-            lambda c: query(c.table("orders"), [c["orders_f"]], ["o_orderkey"], between("o_orderkey", 100, 9000), conditions=["o_orderstatus = 'F'"]).agg(_N),
+            lambda c: query(c.table("orders"), [c["orders_f"]], ["o_orderkey"], between("o_orderkey", 100, 9000), conditions=["o_orderstatus = 'F'"]).agg(_n()),
             "select count(*) n from orders where o_orderstatus = 'F' and o_orderkey between 100 and 9000",
         ),
         "full_aggregate": (
-            lambda c: c.scan(wide).agg(_N, F.sum("l_orderkey").alias("s")),
+            lambda c: c.scan(wide).agg(_n(), F.sum("l_orderkey").alias("s")),
             "select count(*) n, cast(sum(l_orderkey) as bigint) s from lineitem",
         ),
         "consecutive_range_sums": (

@@ -143,8 +143,7 @@ def _read_back(observed: dict, columns: dict[str, KeyType]) -> str | None:
     """The first violation that the build saw, as a message."""
     for i, c in enumerate(columns):
         if observed[f"null_{i}"]:
-            raise_text = f"column {c} has {observed[f'null_{i}']} NULL values; a projection holds none"
-            return raise_text
+            return f"column {c} has {observed[f'null_{i}']} NULL values; a projection holds none"
         if observed.get(f"long_{i}"):
             return f"text in column {c} exceeds {MAX_TEXT_BYTES} bytes ({observed[f'long_{i}']} rows)"
     return None
@@ -181,8 +180,6 @@ def build_projection(
     width = sum(_width(t) for _, t in rows.dtypes)
     if width > WIDE_ROW_BYTES:
         warnings.warn(f"rows of about {width} bytes; a narrower projection scans faster", stacklevel=2)
-    seen = Observation()
-    rows = rows.observe(seen, *[c.alias(n) for n, c in _checks(kinds, options.strict).items()])
     order = [kinds[c].order_key(F.col(f"`{c}`")) for c in keys]
     if len(keys) > 1 and collation is None:
         ranged = order
@@ -191,7 +188,10 @@ def build_projection(
     rows = rows.repartitionByRange(partitions, *ranged) if partitions else rows.repartitionByRange(*ranged)
     # The payload follows the keys in the sort, which lengthens runs and makes files reproducible.
     tail = [F.col(f"`{c}`") for c, t in rows.dtypes if c in include and not t.startswith(("array", "map"))]
-    writer = rows.sortWithinPartitions(*order, *tail).write.option("parquet.block.size", options.row_group_bytes)
+    # Watched behind the exchange, as Spark reads what stands before it twice to find the ranges.
+    seen = Observation()
+    sorted_rows = rows.sortWithinPartitions(*order, *tail).observe(seen, *[c.alias(n) for n, c in _checks(kinds, options.strict).items()])
+    writer = sorted_rows.write.option("parquet.block.size", options.row_group_bytes)
     if options.parquet_bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true")
     writer.parquet(f"{path}/data")
@@ -200,9 +200,9 @@ def build_projection(
         storage.delete(spark, path)
         raise ProjectionError(problem)
     sizes = storage.file_bytes(spark, f"{path}/data")
-    built = Projection(
-        spark, path, list(keys), include, where, options, observed["rows"], sum(sizes.values()), dict(rows.dtypes), _fingerprint(source, source.count() if where else observed["rows"])
-    )
+    built = Projection(spark, path, list(keys), include, where, options, 0, sum(sizes.values()), dict(rows.dtypes), {})
+    built.rows = built.data().count()
+    built.source = _fingerprint(source, source.count() if where else built.rows)
     _describe(built, collation)
     _save(built)
     return built
