@@ -31,18 +31,18 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import materialize, per_document, table, texts_of
 
-DEPTH = 6
-MIN_COUNT = 10
+DEPTH = 5
+MIN_COUNT = 4
 #: Least count times divergence (in nats) from the shorter context.
-MIN_GAIN = 5.0
+MIN_GAIN = 2.0
 #: States sent to all tasks; of more, those that gain most.
 MAX_STATES = 200_000
 HEAD = 150_000
 HEAD_BYTES = 64
 #: Bound of what a task holds before it hands counts on.
-FLUSH_WORDS = 250_000
-FLUSH_GRAMS = 1_500_000
-CHUNK_BYTES = 3_000_000
+FLUSH_WORDS = 150_000
+FLUSH_GRAMS = 600_000
+CHUNK_BYTES = 1_500_000
 SCALE = 1e10
 HELD_OUT = 0
 
