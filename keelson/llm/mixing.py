@@ -112,32 +112,27 @@ def _cuts(queue: DataFrame, goals: DataFrame) -> DataFrame:
     return last.select("source", F.col("last.round").alias("full"), F.col("last.position").alias("upto"))
 
 
-def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The columns ``keep`` of every document, then size, source_size, target, taken and copies."""
+def _mixed(docs: DataFrame, keep: list[str], key: str, source: str, text: str) -> DataFrame:
+    """row (a struct of ``keep``), size, source_size, target and copies of every document."""
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
     keyed = [F.col(f"`{source}`").alias("source"), _position(F.col(f"`{key}`")).alias("position"), size.alias("size")]
-    queue = materialize(
-        docs.select(*keyed).groupBy("source", "position").agg(F.sum("size").alias("words"))
-    )
+    queue = materialize(docs.select(*keyed).groupBy("source", "position").agg(F.sum("size").alias("words")))
     goals = materialize(targets(queue.groupBy("source").agg(F.sum("words").alias("source_size"))).coalesce(1))
     cuts = _cuts(queue.where(F.col("words") > 0), goals)
     plan = goals.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     plan = materialize(plan.select(F.col("source").alias("s"), "source_size", "target", "full", "upto"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *keyed)
     copies = F.coalesce(F.col("full") + (F.col("position") <= F.col("upto")).cast("int"), F.lit(0))
+    rows = rows.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("s")))
     copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    return (
-        rows.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", copies)
-        .select(
-            *[F.col("row").getField(c).alias(c) for c in keep],
-            "size",
-            "source_size",
-            "target",
-            (F.col("copies") * F.col("size")).alias("taken"),
-            "copies",
-        )
-    )
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The columns ``keep`` of every document, then size, source_size, target, taken and copies."""
+    mixed = _mixed(docs, keep, key, source, text)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select(*[F.col("row").getField(c).alias(c) for c in keep], "size", "source_size", "target", taken, "copies")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +143,6 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each document as often as it is taken."""
     names = docs.columns
-    mixed = mix(docs, names)
-    mixed = mixed.select(F.struct(*[mixed[i].alias(c) for i, c in enumerate(names)]).alias("row"), mixed[len(names) + 4].alias("copies"))
-    again = mixed.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    mixed = _mixed(docs, names, "doc_id", "source", "text").where(F.col("copies") > 0)
+    again = mixed.select("row", F.explode(F.sequence(F.lit(1), "copies")))
     return again.select(*[F.col("row").getField(c).alias(c) for c in names])

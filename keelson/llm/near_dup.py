@@ -111,9 +111,12 @@ def op9_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one whose key names the group.
 
-    Rows that repeat a key stay or go together, and of equal rows one stays. A row
-    without a key stays, as no other row can stand for it.
+    Rows that repeat a key stay or go together. A row without a key stays, as no key
+    could name it among those to drop.
     """
     groups = group(docs)
     gone = materialize(groups.where(F.col("doc") != F.col("component")).select(F.col("doc").alias("gone")).distinct())
-    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("key"))
+    kept = rows.join(broadcast_if_small(gone), F.col("key") == F.col("gone"), "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -95,6 +95,18 @@ def _places(rows: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
     )
 
 
+def _sharded(docs: DataFrame, keep: list[str], shards: int, key: str, text: str, seed: int) -> DataFrame:
+    """row (a struct of ``keep``), size, text_crc32, shard and slot."""
+    body = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
+        F.col(f"`{key}`").alias("key"),
+        (F.length(body).cast("long") + 16).alias("size"),
+        F.crc32(body).alias("text_crc32"),
+    )
+    return _places(rows, docs.count(), shards, seed)
+
+
 def shard(
     docs: DataFrame,
     keep: list[str],
@@ -104,16 +116,8 @@ def shard(
     seed: int = KEY,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs``, then size, text_crc32, shard and slot."""
-    body = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-        F.col(f"`{key}`").alias("key"),
-        (F.length(body).cast("long") + 16).alias("size"),
-        F.crc32(body).alias("text_crc32"),
-    )
-    return _places(rows, docs.count(), shards, seed).select(
-        *[F.col("row").getField(c).alias(c) for c in keep], "size", "text_crc32", "shard", "slot"
-    )
+    placed = _sharded(docs, keep, shards, key, text, seed)
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in keep], "size", "text_crc32", "shard", "slot")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,5 +136,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
     names = docs.columns
-    placed = shard(docs, names)
-    return placed.select(*[placed[i].alias(c) for i, c in enumerate(names)], placed[len(names) + 2], placed[len(names) + 3])
+    placed = _sharded(docs, names, SHARDS, "doc_id", "text", KEY)
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in names], "shard", "slot")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import lower_ascii, table
+from keelson.llm.common import lower_ascii, materialize, table
 
 #: Fixed rules: verdict, host, path prefix.
 RULES = [
@@ -95,7 +95,7 @@ def judge(pages: DataFrame, keep: list[str], listed: DataFrame, url: str = "url"
     rows = rows.withColumn("rule", F.coalesce(*[F.when(f, F.lit(r[1] + r[2])) for f, r in fits], F.lit(None).cast("string")))
     by_rule = F.coalesce(*[F.when(F.col("rule") == r[1] + r[2], F.lit(r[0])) for _, r in fits], F.lit("allow"))
 
-    listed = listed.toDF("listed").where("listed is not null").distinct()
+    listed = materialize(listed.toDF("listed").where("listed is not null").distinct())
     n = listed.count()
     blocks = min(MAX_BLOCKS, 1 << max(0, (n * BITS_PER_URL // 256)).bit_length())
     words = F.broadcast(bloom(listed, "listed", blocks))
