@@ -34,6 +34,8 @@ GRAM_WORDS = 25
 WINDOW_WORDS = 25
 #: Beyond the end of a gram the next fingerprint of a run starts within so many words.
 AFTER_WORDS = GRAM_WORDS + WINDOW_WORDS
+#: First positions that may be broadcast once they have been counted.
+FIRSTS_ROWS = 200_000
 
 _DOC = ("key", "k1", "k2")
 
@@ -100,14 +102,16 @@ def _around(side: int, lines: str) -> Column:
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, k1, k2, first, last): disjoint line ranges to delete, by document."""
     marks = materialize(fingerprints(docs, key, text))
-    twice = marks.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g"))
+    twice = materialize(marks.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g")))
     itself = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("near"), F.col("pos").alias("reach")))
     keys = F.concat(itself, _around(1, "before"), _around(2, "after"))
-    found = marks.join(twice, F.col("gram") == F.col("g")).select(*_DOC, "gram", "pos", "end", F.explode(keys).alias("k"))
+    found = marks.join(broadcast_if_small(twice), F.col("gram") == F.col("g")).select(*_DOC, "gram", "pos", "end", F.explode(keys).alias("k"))
     found = materialize(found.select(*_DOC, "gram", "pos", "end", "k.*"))
     by = ["gram", "side", "near"]
     place = F.struct(*[F.col(c) for c in (*_DOC, "pos")])
     firsts = found.groupBy(*by).agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
+    # Written first, so that neither join depends on the partitioning of an aggregate and hot keys can be split.
+    firsts = broadcast_if_small(materialize(firsts), FIRSTS_ROWS)
     met = found.join(firsts, by).where(place != F.col("place"))
     runs = met.groupBy(*_DOC, "pos", "end").agg(F.min("reach").alias("low"), F.max("reach").alias("high"))
     runs = runs.select(*_DOC, F.least("pos", "low").alias("first"), F.greatest("end", "high").alias("last"))
