@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from keelson.llm.common import WORD, broadcast_if_small, materialize, table
 
 ROUNDS = 3
-BLOCK_ROWS = 10_000
+BLOCK_ROWS = 2_000
 SEED = "mix-2026:"
 
 
