@@ -37,10 +37,15 @@ REACH = 2
 #: The bound of the labelled sample.
 TRAIN_ROWS = 10_000
 HIDDEN = 32
-EPOCHS = 60
+#: Training steps of so many rows each, whatever the size of the sample.
+STEPS = 5_000
+BATCH = 64
+#: Pull of the weights towards zero, decoupled from the gradients.
+DECAY = 1e-2
 SEED = 11
 THRESHOLD = 0.7
 HELD_OUT = 2
+FEATURES = 2 * DIMENSIONS + 3
 #: Tasks that sum word vectors; each sends one matrix of BUCKETS x DIMENSIONS.
 FIT_TASKS = 8
 
@@ -81,13 +86,19 @@ def add_contexts(sums: np.ndarray, counts: np.ndarray, places: np.ndarray, index
 
 
 def pooled(places: np.ndarray, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted mean and spread of the vectors of a document, and the logarithm of its length."""
-    out = np.zeros(2 * DIMENSIONS + 1)
+    """A document: weighted mean and spread of its vectors, their mean step from piece to piece, and its length.
+
+    The step is taken over the word vectors and, for pieces without one, over places.
+    """
+    out = np.zeros(FEATURES)
     if places.size:
         own, w = vectors[places], weights[places][:, None]
         mean = (own * w).sum(0) / w.sum()
         out[:DIMENSIONS] = mean
-        out[DIMENSIONS:-1] = np.sqrt((w * (own - mean) ** 2).sum(0) / w.sum())
+        out[DIMENSIONS : 2 * DIMENSIONS] = np.sqrt((w * (own - mean) ** 2).sum(0) / w.sum())
+        if places.size > 1:
+            out[-3] = np.mean(np.square(own[1:] - own[:-1]).sum(1))
+            out[-2] = np.mean(places[1:] != places[:-1])
         out[-1] = np.log1p(places.size)
     return out
 
@@ -125,20 +136,18 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
     mean, scale = x[fit].mean(0), x[fit].std(0) + 1e-6
     z = (x - mean) / scale
     p = [random.normal(0, (2 / width) ** 0.5, (width, HIDDEN)), np.zeros(HIDDEN), random.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
-    m, v, turn = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for epoch in range(EPOCHS):
-        rate = 3e-3 * 0.95**epoch
-        for rows in np.array_split(random.permutation(fit), max(1, len(fit) // 64)):
-            inner = z[rows] @ p[0] + p[1]
-            hidden = np.maximum(0, inner)
-            error = (1 / (1 + np.exp(-np.clip(hidden @ p[2] + p[3], -40, 40))) - y[rows]) / len(rows)
-            back = error[:, None] * p[2] * (inner > 0)
-            turn += 1
-            for i, g in enumerate((z[rows].T @ back, back.sum(0), hidden.T @ error, error.sum(keepdims=True))):
-                g = g + 1e-4 * p[i]
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
-                p[i] = p[i] - rate * (m[i] / (1 - 0.9**turn)) / (np.sqrt(v[i] / (1 - 0.999**turn)) + 1e-8)
+    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+    for turn in range(1, STEPS + 1):
+        rate = 3e-3 * (1 - (turn - 1) / STEPS)
+        rows = fit[random.integers(0, len(fit), min(BATCH, len(fit)))]
+        inner = z[rows] @ p[0] + p[1]
+        hidden = np.maximum(0, inner)
+        error = (1 / (1 + np.exp(-np.clip(hidden @ p[2] + p[3], -40, 40))) - y[rows]) / len(rows)
+        back = error[:, None] * p[2] * (inner > 0)
+        for i, g in enumerate((z[rows].T @ back, back.sum(0), hidden.T @ error, error.sum(keepdims=True))):
+            m[i] = 0.9 * m[i] + 0.1 * g
+            v[i] = 0.999 * v[i] + 0.001 * g * g
+            p[i] = p[i] * (1 - rate * DECAY) - rate * (m[i] / (1 - 0.9**turn)) / (np.sqrt(v[i] / (1 - 0.999**turn)) + 1e-8)
     net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]))
     if len(rest):
         raw = net.logits(x[rest])
@@ -189,7 +198,7 @@ def score(docs: DataFrame, labelled: DataFrame, columns: list[str], text: str =
         return work
 
     rows = per_document(labelled, ["label"], "text", "x array<double>", features).toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, 2 * DIMENSIONS + 1)
+    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, FEATURES)
     y = np.array(rows.column("label").to_pylist(), float)
     order = np.lexsort((*x.T[:3], x[:, -1], y))  # the same order whatever tasks came first
     net = sc.broadcast(train(x[order], y[order]))
