@@ -32,7 +32,7 @@ GRAM = 3
 SEED_WINDOW = 4
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: A document holds an item if the alignment reaches this share of the item's best score ...
-MIN_SHARE = 0.6
+MIN_SHARE = 0.5
 #: ... where a longer item counts as one of so many words.
 ITEM_WORDS = 60
 #: Words of a region before and after the item's own extent, as a share of its length.
