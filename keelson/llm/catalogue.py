@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import secret_scan, url_filter
+from keelson.llm import mixing, quality_rules, secret_scan, url_filter
 from keelson.llm.decontam import op2_decontamination
 from keelson.llm.line_dedup import op6_line_dedup
 from keelson.llm.mixing import op5_mixing
@@ -18,5 +18,7 @@ QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_qual
 
 ORACLE_SQL: dict[str, str] = {
     op1_url_filter.__name__: url_filter.ORACLE_SQL,
+    op5_mixing.__name__: mixing.ORACLE_SQL,
+    op7_quality_rules.__name__: quality_rules.ORACLE_SQL,
     op10_secret_scan.__name__: secret_scan.ORACLE_SQL,
 }

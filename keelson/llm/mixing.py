@@ -146,3 +146,37 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = _mixed(docs, names, "doc_id", "source", "text").where(F.col("copies") > 0)
     again = mixed.select("row", F.explode(F.sequence(F.lit(1), "copies")))
     return again.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
+ORACLE_SQL = rf"""
+with docs as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+    ('0x' || substr(md5('{SEED}' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as position
+  from documents),
+queue as (select source, position, sum(size)::bigint as words from docs group by 1, 2),
+sizes as (select source, sum(words)::bigint as source_size from queue group by 1),
+weighted as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from sizes),
+levels as (
+  select *, (sum(source_size) over () - {ROUNDS} * coalesce(sum(source_size) over before, 0))::double
+    / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
+  from weighted window before as (order by source_size / weight::double, source nulls last rows between unbounded preceding and 1 preceding)),
+settled as (
+  select *, first_value(case when level * weight <= {ROUNDS} * source_size then level end ignore nulls)
+    over (order by source_size / weight::double, source nulls last rows between unbounded preceding and current row) as common
+  from levels),
+goals as (select source, source_size, coalesce(common * weight, ({ROUNDS} * source_size)::double) as target from settled),
+served as (
+  select q.*, sum(words) over (partition by source order by position) as cum from queue q where words > 0),
+entries as (
+  select s.source, position, words, round, (round * source_size + cum)::double / target as finish
+  from served s join goals g on s.source is not distinct from g.source, range({ROUNDS}) r(round)
+  where round * source_size + cum - words < target),
+stream as (
+  select *, sum(words) over (order by finish, source nulls last, position, round rows between unbounded preceding and current row) as upto
+  from entries),
+taken as (
+  select source, position, count(*) as copies from stream where upto <= (select round(sum(target))::bigint from goals) group by 1, 2)
+select doc_id, size, source_size, target, size * coalesce(copies, 0) as taken
+from docs d join goals g on d.source is not distinct from g.source
+left join taken t on d.source is not distinct from t.source and d.position = t.position and d.size > 0
+"""

@@ -148,3 +148,43 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
     judged = judge(whole, ["row"])
     return judged.where("kept").select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
+_LIMITS = ", ".join(f"({n}, {share})" for n, share in NGRAM_LIMITS.items())
+
+ORACLE_SQL = rf"""
+with docs as (
+  select doc_id, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+base as (
+  select doc_id, body, ws, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+    len(regexp_extract_all(body, '[#*$%&|<>]')) as n_symbols from docs),
+lines as (
+  select doc_id, line, row_number() over (partition by doc_id, line order by i) as nth
+  from (select doc_id, unnest(string_split(body, chr(10))) as line, unnest(range(1, len(string_split(body, chr(10))) + 1)) as i from docs)
+  where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup_lines as (
+  select doc_id, count(*) as n_dup_lines,
+    sum(list_sum(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: length(x))))::bigint as chars
+  from lines where nth > 1 group by doc_id),
+limits as (select * from (values {_LIMITS}) t(n, share)),
+grams as (
+  select doc_id, n, i, ws[i : i + n - 1] as g
+  from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from base, limits where len(ws) >= n)),
+twice as (select doc_id, n, i from (select doc_id, n, i, count(*) over (partition by doc_id, n, g) as c from grams) where c > 1),
+inside as (select distinct doc_id, n, unnest(range(i, i + n)) as p from twice),
+shares as (
+  select s.doc_id, s.n, count(*) as n_inside, sum(length(b.ws[s.p]))::bigint as chars from inside s join base b using (doc_id) group by 1, 2),
+worst as (
+  select s.doc_id, max(s.chars / b.word_chars::double) as share, bool_or(s.chars / b.word_chars::double > l.share) as rejected,
+    max(case when s.n = {BASE_WINDOW} then n_inside else 0 end) as n_repeat
+  from shares s join base b using (doc_id) join limits l using (n) group by 1)
+select doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat, 0) as n_repeat_words,
+  n_words < {MIN_WORDS} or 100 * coalesce(n_repeat, 0) > {BASE_REPEAT_PERCENT} * n_words as base_failed,
+  not (n_words < {MIN_WORDS} or 100 * coalesce(n_repeat, 0) > {BASE_REPEAT_PERCENT} * n_words)
+    and not coalesce(rejected, false) and dup_line_share <= {LINE_LIMIT} as kept,
+  dup_line_share, coalesce(share, 0.0)::double as dup_ngram_share
+from (
+  select b.doc_id, b.n_words, b.word_chars, b.n_symbols, d.n_dup_lines, w.n_repeat, w.rejected, w.share,
+    case when b.word_chars > 0 then coalesce(d.chars, 0) / b.word_chars::double else 0.0::double end as dup_line_share
+  from base b left join dup_lines d using (doc_id) left join worst w using (doc_id))
+"""
