@@ -113,6 +113,22 @@ def counts(train: DataFrame, text: str = "text") -> DataFrame:
     return materialize(found.groupBy("word", "code").agg(F.sum("n").alias("n")))
 
 
+def _least(rows: DataFrame, column: str, most: int) -> int:
+    """The smallest value of an integer column from which on there are no more than ``most`` rows.
+
+    Found from the number of rows of each value, so that nothing is sorted in one task.
+    """
+    seen = rows.groupBy(F.col(column).alias("v")).count().orderBy(F.desc("v"))
+    total, least = 0, None
+    for r in seen.limit(most).toLocalIterator():  # each value has a row at least
+        total += r["count"]
+        if total > most:
+            break
+        least = r["v"]
+    # none fits: a value beyond all
+    return least if least is not None else 2**62
+
+
 def _contexts(grams: DataFrame) -> DataFrame:
     """(depth, ctx, sym, n) of the retained contexts, the root included."""
     level = grams.select(F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).alias("sym"), "n")
@@ -131,7 +147,8 @@ def _contexts(grams: DataFrame) -> DataFrame:
         gains = rows.groupBy("ctx").agg(F.sum(F.col("n") * ratio).alias("gain")).where(F.col("gain") >= MIN_GAIN)
         gains = gains.select(F.lit(d).alias("depth"), "ctx", "gain")
         states = gains if states is None else states.unionByName(gains)
-    top = materialize(states.orderBy(F.round("gain", 6).desc(), "depth", "ctx").limit(MAX_STATES))
+    states = materialize(states.withColumn("rank", F.floor(F.log("gain") * 100)))
+    top = states.where(F.col("rank") >= _least(states, "rank", MAX_STATES))
     for d in range(DEPTH + 1):
         chosen = levels[d].select(F.lit(d).alias("depth"), "ctx", "sym", "n")
         if d:
@@ -203,7 +220,8 @@ def score(docs: DataFrame, train: DataFrame, columns: list[str], key: str = "doc
     kept = _contexts(found.where(F.col("code").isNotNull()).select("code", "n")).toArrow()
     tree = SuffixTree(*[kept.column(c).to_numpy().astype(np.int64) for c in ("depth", "ctx", "sym", "n")])
     # at most HEAD words of HEAD_BYTES bytes
-    top = vocabulary.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    usual = vocabulary.where(F.octet_length("word") <= HEAD_BYTES)
+    top = usual.where(F.col("n") >= _least(usual, "n", HEAD)).toArrow()
     n = top.column("n").to_numpy()
     head = dict(zip(top.column("word").cast(pa.binary()).to_pylist(), np.rint(np.log10((n + 0.1) / (total + 0.1 * (kinds + 1))) * SCALE).astype(np.int64).tolist()))
     if not total:
