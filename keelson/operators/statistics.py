@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import time
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from keelson.functions import sketches
 from keelson.operators import predicates as P
 from keelson.sources.projection import Projection
 
+#: Files up to which their list is broadcast.
+BROADCAST_FILES = 500_000
+
 
 def leaf_statistics(p: Projection, leaf_rows: int | None = None, across_files: bool = False) -> DataFrame:
     """leaf, file, mn, mx, n, d, runs, combos and bloom of each leaf.
@@ -30,13 +34,13 @@ def leaf_statistics(p: Projection, leaf_rows: int | None = None, across_files: b
     rows = p.data().select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     combo = F.xxhash64(*[c for c, t in p.types.items() if not t.startswith("map")])
     if across_files:
-        # the rows before each file, as the manifest knows them
-        before = F.lit(0).cast("long")
-        total = 0
-        for f in sorted(p.files, key=lambda f: f.name):
-            before = F.when(F.col("file") == f.name, F.lit(total).cast("long")).otherwise(before) if total else before
-            total += f.rows
-        group = [F.floor((F.col("at") + before) / size).alias("leaf")]
+        # the rows before each file, as the manifest knows them; one row for each file
+        ordered = sorted(p.files, key=lambda f: f.name)
+        before = list(accumulate((f.rows for f in ordered), initial=0))[:-1]
+        offsets = p.spark.createDataFrame(list(zip((f.name for f in ordered), before)), "f string, before long")
+        offsets = F.broadcast(offsets) if len(ordered) <= BROADCAST_FILES else offsets
+        rows = rows.join(offsets, F.col("file") == F.col("f"))
+        group = [F.floor((F.col("at") + F.col("before")) / size).alias("leaf")]
     else:
         group = [F.col("file"), F.floor(F.col("at") / size).alias("part")]
     measures = [

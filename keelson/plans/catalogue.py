@@ -18,7 +18,7 @@ from keelson.functions import sketches
 from keelson.functions.types import uuid_text
 from keelson.operators.predicates import Param, between, eq, ge, gt, is_not_null, is_null, isin, le, lt
 from keelson.operators.scan import PreparedScan, lookup_join, scan
-from keelson.operators.statistics import inspect, kept_leaves, leaf_statistics, levels, upper_level
+from keelson.operators.statistics import BROADCAST_FILES, inspect, kept_leaves, leaf_statistics, levels, upper_level
 from keelson.plans.chooser import choose, query
 from keelson.plans.options import ProjectionOptions
 from keelson.sources import storage
@@ -162,7 +162,7 @@ def _no_false_negative(c: Context) -> DataFrame:
     leaves = p.leaves().select("leaf", "file", "bloom")
     first = leaves.groupBy("file").agg(F.min("leaf").alias("first"))
     rows = p.data().select("l_suppkey", F.col("_metadata.file_name").alias("file"), F.floor(F.col("_metadata.row_index") / LEAF_ROWS).alias("part"))
-    rows = rows.join(F.broadcast(first), "file").withColumn("leaf", F.col("first") + F.col("part")).drop("file")
+    rows = rows.join(F.broadcast(first) if len(p.files) <= BROADCAST_FILES else first, "file").withColumn("leaf", F.col("first") + F.col("part")).drop("file")
     missed = rows.join(leaves.select("leaf", "bloom"), "leaf").where(~sketches.might_contain(F.col("bloom"), F.col("l_suppkey"), p.options.bloom_nhash))
     return missed.agg(_n())
 
