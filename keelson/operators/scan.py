@@ -58,13 +58,17 @@ def files_for(p: Projection, preds: list[P.Predicate]) -> list[FileRange] | None
 
 
 def _ends(files: list[FileRange], wanted: int, descending: bool) -> list[FileRange]:
-    """The first files in scan order that hold ``wanted`` rows in any case."""
+    """The first files in scan order that hold the first ``wanted`` rows in any case.
+
+    A key may go on in the next file, so files that share the last one's outer key are taken too.
+    """
     out, rows = [], 0
     for f in sorted(files, key=lambda f: f.name, reverse=descending):
+        edge = out and (out[-1].low == f.high if descending else out[-1].high == f.low)
+        if out and rows >= wanted and not edge:
+            break
         out.append(f)
         rows += f.rows
-        if rows >= wanted:
-            break
     return out
 
 

@@ -181,16 +181,14 @@ def build_projection(
     if width > WIDE_ROW_BYTES:
         warnings.warn(f"rows of about {width} bytes; a narrower projection scans faster", stacklevel=2)
     order = [kinds[c].order_key(F.col(f"`{c}`")) for c in keys]
-    if len(keys) > 1 and collation is None:
-        ranged = order
-    else:
-        ranged = order[:1]
-    rows = rows.repartitionByRange(partitions, *ranged) if partitions else rows.repartitionByRange(*ranged)
-    # The payload follows the keys in the sort, which lengthens runs and makes files reproducible.
+    # The payload follows the keys, in the ranges and in the sort: one hot key is spread over several files,
+    # runs get longer, and files come out the same on each build.
     tail = [F.col(f"`{c}`") for c, t in rows.dtypes if c in include and not t.startswith(("array", "map"))]
+    ranged = [*order, *tail]
+    rows = rows.repartitionByRange(partitions, *ranged) if partitions else rows.repartitionByRange(*ranged)
     # Watched behind the exchange, as Spark reads what stands before it twice to find the ranges.
     seen = Observation()
-    sorted_rows = rows.sortWithinPartitions(*order, *tail).observe(seen, *[c.alias(n) for n, c in _checks(kinds, options.strict).items()])
+    sorted_rows = rows.sortWithinPartitions(*ranged).observe(seen, *[c.alias(n) for n, c in _checks(kinds, options.strict).items()])
     writer = sorted_rows.write.option("parquet.block.size", options.row_group_bytes)
     if options.parquet_bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true")

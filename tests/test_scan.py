@@ -166,6 +166,15 @@ def test_ordered_limit_reads_the_end_only(signed):
     assert [r[0] for r in values(scan(signed, order="asc", limit=3, offset=2))] == [-49_998, -49_997, -49_996]
 
 
+def test_hot_key_over_several_files(spark, folder):
+    df = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(50_000).alias("a"), F.col("id").alias("x"))
+    p = build_projection(df, str(folder / "hot"), ["a"], ["x"], partitions=8)
+    assert sum(f.high == 50_000 for f in p.files) > 3 and max(f.rows for f in p.files) < 6_000
+    assert scan(p, eq("a", 50_000)).count() == 15_000
+    top = [tuple(r) for r in scan(p, order="desc", then=["x"], limit=5).collect()]
+    assert top == [(50_000, x) for x in (19_999, 19_998, 19_997, 19_995, 19_994)]
+
+
 def test_settings_change_no_result(spark, folder, signed):
     plain = build_projection(
         scan(signed), str(folder / "plain"), ["a"], options=ProjectionOptions(zone_maps=False, bloom_filters=False, build_bloom_filters=False), partitions=3
