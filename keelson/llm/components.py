@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialize
+from keelson.llm.common import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = _state(links)
     while before[0]:
-        links = materialize(_small_star(_large_star(links)))
+        old, links = links, materialize(_small_star(_large_star(links)))
+        discard(old)
         now = _state(links)
         if now == before:
             break

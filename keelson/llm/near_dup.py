@@ -86,17 +86,18 @@ def _signed(bits: int) -> int:
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component) for every row of ``docs``; the component is its smallest key."""
     marked = materialize(per_document(docs, [key], text, "fp long", _make).toDF("doc", "fp"))
-    nodes = marked.groupBy("fp").agg(F.min("doc").alias("least"))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("n")))
     roots = components(link(nodes.select("fp")))
-    # The smallest key of each component, over fingerprints, then back to fingerprints.
-    joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    joined = materialize(joined)
-    least = joined.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
-    # Only fingerprints of components of several fingerprints or copies need a lookup.
-    named = joined.join(least, "root").select(F.col("fp").alias("f"), "component")
-    return marked.join(named, F.col("fp") == F.col("f")).select("doc", "fp", "component")
+    members = roots.union(roots.select("root", "root").distinct())
+    # Only fingerprints with links or copies need a lookup; all others name themselves.
+    members = broadcast_if_small(materialize(members.toDF("node", "root")))
+    linked = nodes.join(members, F.col("fp") == F.col("node")).select("fp", "root", "least")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    linked = linked.join(least, "root").select("fp", "component")
+    copies = nodes.where("n > 1").join(members, F.col("fp") == F.col("node"), "left_anti").select("fp", "least")
+    named = materialize(linked.union(copies).toDF("f", "component"))
+    found = marked.join(broadcast_if_small(named), F.col("fp") == F.col("f"), "left")
+    return found.select("doc", "fp", F.coalesce("component", "doc").alias("component"))
 
 
 def op9_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
