@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset.
+
+    Then it is a temporary folder if all of Spark runs in this process, and otherwise one
+    beside the warehouse, which driver and executors share.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
-        found = tempfile.mkdtemp(prefix="keelson-")
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        found = tempfile.mkdtemp(prefix="keelson-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_keelson"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

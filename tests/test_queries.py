@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
 from datetime import date, datetime
 from pathlib import Path
 
@@ -45,3 +48,21 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["l_orderkey", "l_linenumber", "l_suppkey"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_imports_without_the_optional_parts(tmp_path):
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here / "keelson", tmp_path / "keelson", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 90 and 'pipeline' not in e.queries() and len(e.oracle_sql()) > 90"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    from keelson.sources import storage
+
+    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    storage.write_text(spark, f"{tmp_path}/a/b.json", "é")
+    assert storage.exists(spark, f"{tmp_path}/a/b.json") and storage.read_text(spark, f"{tmp_path}/a/b.json") == "é"
+    storage.delete(spark, f"{tmp_path}/a")
+    assert not storage.exists(spark, f"{tmp_path}/a")
