@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keelson.sources import storage
 
 #: A word, as every contract of this subpackage counts words.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Rows that may be broadcast once their number has been counted.
+#: Rows and bytes that may be broadcast once they have been counted.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 #: Documents that a Python task turns into Python objects at a time.
 SLICE_ROWS = 128
 
@@ -24,18 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="keelson-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it again.
 
@@ -43,11 +34,9 @@ def materialize(df: DataFrame) -> DataFrame:
     removed when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/keelson-{uuid.uuid4().hex}"
+    path = f"{storage.shared_folder(spark)}/keelson-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    storage.delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,13 +45,24 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if name.rpartition("/")[2].startswith("keelson-"):
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            storage.delete(spark, name)
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    column = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+    return F.lit(8)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if counting shows that it is small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and bytes, both counted, are few, else as it is."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    seen = df.select(width.alias("w")).limit(rows + 1).agg(F.count("w"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if seen[0] <= rows and seen[1] <= size else df
 
 
 def lower_ascii(column: Column) -> Column:
