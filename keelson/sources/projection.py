@@ -212,7 +212,7 @@ def _describe(p: Projection, collation: str | None) -> None:
 
     if not p.options.build_zone_maps:
         return
-    leaf_statistics(p).write.parquet(f"{p.path}/leaves")
+    leaf_statistics(p, exact=False).write.parquet(f"{p.path}/leaves")
     ranges = p.leaves().groupBy("file").agg(F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
     ordered = collation is None and p.types[p.keys[0]] not in ("binary",) and not p.types[p.keys[0]].startswith("struct")
     # one row for each file, as in Spark's own file index
