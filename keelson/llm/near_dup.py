@@ -21,11 +21,13 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.llm import near_copies
 from keelson.llm.common import broadcast_if_small, materialize, per_document, table
 from keelson.llm.components import components
 from keelson.llm.simhash import fingerprints
@@ -86,8 +88,19 @@ def _signed(bits: int) -> int:
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component) for every row of ``docs``; the component is its smallest key."""
     marked = materialize(per_document(docs, [key], text, "fp long", _make).toDF("doc", "fp"))
+    return _named(marked, link)
+
+
+def group_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``group``, but by near copies: ``fp`` is the hash of the text and links join similar texts."""
+    marked = near_copies.mark(docs, key, text)
+    return _named(marked, lambda _: near_copies.link(docs, marked, text))
+
+
+def _named(marked: DataFrame, link_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc, fp, component) of rows (doc, fp), given links (a, b) over distinct ``fp``."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("n")))
-    roots = components(link(nodes.select("fp")))
+    roots = components(link_of(nodes.select("fp")))
     members = roots.union(roots.select("root", "root").distinct())
     # Only fingerprints with links or copies need a lookup; all others name themselves.
     members = broadcast_if_small(materialize(members.toDF("node", "root")))
@@ -110,12 +123,15 @@ def op9_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose key names the group.
+    """One document of each group of near copies stays: the one whose key names the group.
+
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or
+    more (``near_copies``); the two bits of op9 bind that query alone.
 
     Rows that repeat a key stay or go together. A row without a key stays, as no key
     could name it among those to drop.
     """
-    groups = group(docs)
+    groups = group_copies(docs)
     gone = materialize(groups.where(F.col("doc") != F.col("component")).select(F.col("doc").alias("gone")).distinct())
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("key"))

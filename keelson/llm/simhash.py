@@ -13,22 +13,22 @@ SHINGLE = 3
 SEED = 42
 
 
-def _hashes(data: bytes) -> list[int]:
+def hashes(data: bytes, shingle: int = SHINGLE) -> list[int]:
     words = data.lower().split()  # bytes: only A-Z and ASCII white space
     if not words:
         return []
     digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return [digest(b" ".join(words), SEED)]
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
 
 
 def fingerprints(texts: list[bytes]) -> list[int]:
     """One signed 64-bit fingerprint for each text; zero for a text without words."""
-    every = [_hashes(t) for t in texts]
+    every = [hashes(t) for t in texts]
     sizes = np.array([len(x) for x in every])
     out = np.zeros(len(texts), np.int64)
     filled = np.flatnonzero(sizes)

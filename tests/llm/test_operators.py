@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keelson.llm import catalogue, components, decontam, line_dedup, mixing, near_dup, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_tree_lm, url_filter
+from keelson.llm import catalogue, components, decontam, line_dedup, mixing, near_copies, near_dup, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_tree_lm, url_filter
 
 DATA = Path("/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -483,6 +483,26 @@ def test_groups_of_documents(spark, texts):
         assert r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == least[root[fps[r.doc_id]]]
 
 
+@pytest.mark.parametrize("long_list", [32, 2])
+def test_stage_drops_near_copies(spark, monkeypatch, long_list):
+    monkeypatch.setattr(near_copies, "LONG_LIST", long_list)
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, copies, apart = [], set(), set()
+    for i in range(60):
+        base = fresh(250)
+        docs.append((10 * i, " ".join(base)))
+        # an edit breaks five shingles: similarities of 0.92 down to 0.82, and 0.66
+        for j, edits in enumerate((2, 3, 4, 5, 10), 1):
+            w = list(base)
+            for p in range(edits):
+                w[10 + 240 // edits * p] = fresh(1)[0]
+            docs.append((10 * i + j, " ".join(w)))
+            (copies if edits <= 5 else apart).add(10 * i + j)
+    kept = {r.doc_id for r in near_dup.stage(spark, frame(spark, docs), "").collect()}
+    assert kept == {d for d, _ in docs} - copies
+
+
 # --- 10 secrets --------------------------------------------------------------
 
 
