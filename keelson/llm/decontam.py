@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Items are short texts, the corpus is large, so the corpus is read twice and never
-shuffled. The first pass counts in how many documents each item n-gram occurs; in
-every window of ``SEED_WINDOW`` consecutive n-grams of an item the rarest one that
-occurs at all becomes a seed, so any copied run of SEED_WINDOW + GRAM - 1 = 6 words
-is seeded. The second pass finds seeds, takes the region of the document around each
-and aligns it with the item by words; a region scores its local alignment (match 2,
-mismatch -1, gap -1) as a share of the most the item can reach.
+Items are short texts, the corpus is large, so the corpus is read once and never
+shuffled. Every n-gram of an item is a seed, so any copied run of GRAM = 3 words is
+seeded, however often the item occurs elsewhere. An item of which a document has too few
+words to reach the accepted score is dropped first; for the others the region of the
+document around each seed is aligned with the item by words, and scores its local
+alignment (match 2, mismatch -1, gap -1) as a share of the most the item can reach.
 
 Items are processed in blocks of a bounded number of words, each block being sent to
 all tasks; a block's size, not the number of items, bounds what is broadcast.
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 from keelson.llm.common import materialize, per_document, table
 
 GRAM = 3
-SEED_WINDOW = 4
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: A document holds an item if the alignment reaches this share of the item's best score ...
 MIN_SHARE = 0.5
@@ -74,9 +72,13 @@ class Block:
         self.numbers, self.base = numbers, len(numbers) + 1
         codes = [self.codes(x) for x in self.items]
         self.grams = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]))
-        self.at = [np.searchsorted(self.grams, c) for c in codes]
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        self.seeded = np.zeros(0, np.int64)
+        # seeds: under each n-gram, the items and places that hold it
+        gram = np.searchsorted(self.grams, np.concatenate([*codes, np.zeros(0, np.int64)]))
+        order = np.argsort(gram, kind="stable")
+        sizes = [len(c) for c in codes]
+        self.seed_item = np.repeat(np.arange(len(codes)), sizes)[order]
+        self.seed_place = np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)]).astype(np.int64)[order]
+        self.first = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """Codes of the n-grams of ``x``; -1 where a word is in no item."""
@@ -89,20 +91,6 @@ class Block:
             known &= part >= 0
         return np.where(known, out, -1)
 
-    def choose(self, counts: dict[int, int]) -> None:
-        """Seeds: in each window of n-grams the rarest of those that occur."""
-        for i, grams in enumerate(self.at):
-            chosen = set()
-            for start in range(max(1, len(grams) - SEED_WINDOW + 1)):
-                window = [(counts[g], int(g), j) for j, g in enumerate(grams[start : start + SEED_WINDOW].tolist(), start) if g in counts]
-                if window:
-                    chosen.add(min(window)[1:])
-            for g, _ in chosen:
-                places = [j for j, x in enumerate(grams.tolist()) if x == g]
-                self.seeds.setdefault(g, []).extend((i, j) for j in places)
-        self.seeds = {g: sorted(set(v)) for g, v in self.seeds.items()}
-        self.seeded = np.array(sorted(self.seeds), np.int64)
-
     def occurrences(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The document as word numbers, and where in it which n-grams of items stand."""
         get = self.numbers.get
@@ -118,20 +106,29 @@ class Block:
     def hits(self, text: bytes) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, last word) of each item that the text holds, at its best place."""
         x, at, grams = self.occurrences(text)
-        if at.size:
-            keep = np.isin(grams, self.seeded)
-            at, grams = at[keep], grams[keep]
+        if not at.size:
+            return []
+        n = self.first[grams + 1] - self.first[grams]
+        seed = np.repeat(self.first[grams] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # no alignment matches more words of an item than the document has
+        present = np.zeros(len(self.numbers), bool)
+        present[x[x >= 0]] = True
+        able = np.zeros(len(self.items), bool)
+        for i in np.unique(self.seed_item[seed]).tolist():
+            item = self.items[i]
+            able[i] = np.count_nonzero(present[item]) >= MIN_SHARE * min(len(item), ITEM_WORDS)
+        keep = able[self.seed_item[seed]]
+        starts = (np.repeat(at, n) - self.seed_place[seed])[keep]
         regions: dict[int, list[list[int]]] = {}
-        for p, g in zip(at.tolist(), grams.tolist()):
-            for i, j in self.seeds[g]:
-                size = len(self.items[i])
-                slack = 2 + int(SLACK * size)
-                lo, hi = max(0, p - j - slack), min(len(x), p - j + size + slack)
-                spans = regions.setdefault(i, [])
-                if spans and lo <= spans[-1][1] and hi >= spans[-1][0]:
-                    spans[-1] = [min(lo, spans[-1][0]), max(hi, spans[-1][1])]
-                else:
-                    spans.append([lo, hi])
+        for i, p in sorted(set(zip(self.seed_item[seed][keep].tolist(), starts.tolist()))):
+            size = len(self.items[i])
+            slack = 2 + int(SLACK * size)
+            lo, hi = max(0, p - slack), min(len(x), p + size + slack)
+            spans = regions.setdefault(i, [])
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(hi, spans[-1][1])
+            else:
+                spans.append([lo, hi])
         out = []
         for i, spans in regions.items():
             item = self.items[i]
@@ -165,20 +162,6 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Block]:
         yield Block(held)
 
 
-def _seeded(docs: DataFrame, text: str, block: Block):
-    """The block with its seeds chosen by the counts of ``docs``, sent to all tasks."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(block)
-
-    def count():
-        return lambda texts: {"grams": [sorted(set(sent.value.occurrences(t)[2].tolist())) for t in texts]}
-
-    seen = per_document(docs, [], text, "grams array<int>", count).select(F.explode("grams").alias("g"))
-    # at most as many rows as the block has n-grams
-    block.choose({r.g: r["count"] for r in seen.groupBy("g").count().collect()})
-    return sc.broadcast(block)
-
-
 def find(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -187,7 +170,7 @@ def find(
     kind = items.schema[item_key].dataType.simpleString()
     found = None
     for block in _blocks(items, item_key, item_text):
-        chosen = _seeded(docs, text, block)
+        chosen = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(chosen=chosen):
             def work(texts):
@@ -213,7 +196,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     """The rows of ``docs`` whose text holds no item; each row is judged by itself, without a join."""
     names = docs.columns
     for block in _blocks(items, item_key, item_text):
-        chosen = _seeded(docs, text, block)
+        chosen = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(chosen=chosen):
             return lambda texts: {"held": [bool(chosen.value.hits(t)) for t in texts]}

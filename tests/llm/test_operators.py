@@ -152,6 +152,16 @@ def test_finds_exact_and_edited_copies(spark):
     assert exact.score == 1.0 and (exact.first_word, exact.last_word) == (80, 80 + len(items[0][1].split()) - 1)
 
 
+def test_edited_copy_is_found_beside_exact_ones(spark):
+    item = " ".join(f"w{j}" for j in range(36))
+    edited = " ".join(f"x{j}" if j % 6 == 5 else w for j, w in enumerate(item.split()))
+    # the broken trigrams are rarer than the intact ones, which both copies hold
+    docs = [(1, item), (2, edited)]
+    found = decontam.find(frame(spark, docs), frame(spark, [(7, item)], "item_id int, text string")).collect()
+    assert {(r.doc, r.item) for r in found} == {(1, 7), (2, 7)}
+    assert math.isclose(next(r.score for r in found if r.doc == 2), (2 * 30 - 5) / 72, abs_tol=1e-9)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 15)
     items = [(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(5)]
