@@ -8,6 +8,9 @@ by the number of distinct symbols seen (Witten and Bell), down to all symbols, s
 every text has a probability. A text is scored symbol by symbol at the longest suffix
 of its past that is a state.
 
+Every state is sent to all tasks: their number follows the variety of the text, not a
+bound, so memory of the driver and of each task grows with it.
+
 Beside it stands a word unigram base. Word counts cover the whole training part and
 grow with it: counts of the ``HEAD`` most frequent words are sent to all tasks (bounded
 in number and length), tokens outside of them are joined with the full table.
@@ -29,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialize, per_document, table, texts_of
+from keelson.llm.common import broadcast_if_small, materialize, per_document, table, texts_of
 
 DEPTH = 5
 MIN_COUNT = 4
 #: Least count times divergence (in nats) from the shorter context.
 MIN_GAIN = 2.0
-#: States sent to all tasks; of more, those that gain most.
-MAX_STATES = 200_000
 HEAD = 150_000
 HEAD_BYTES = 64
 #: Bound of what a task holds before it hands counts on.
@@ -147,13 +148,11 @@ def _contexts(grams: DataFrame) -> DataFrame:
         gains = rows.groupBy("ctx").agg(F.sum(F.col("n") * ratio).alias("gain")).where(F.col("gain") >= MIN_GAIN)
         gains = gains.select(F.lit(d).alias("depth"), "ctx", "gain")
         states = gains if states is None else states.unionByName(gains)
-    states = materialize(states.withColumn("rank", F.floor(F.log("gain") * 100)))
-    top = states.where(F.col("rank") >= _least(states, "rank", MAX_STATES))
+    states = materialize(states)
     for d in range(DEPTH + 1):
         chosen = levels[d].select(F.lit(d).alias("depth"), "ctx", "sym", "n")
         if d:
-            # at most MAX_STATES rows
-            chosen = chosen.join(F.broadcast(top.where(F.col("depth") == d).select("ctx")), "ctx", "left_semi")
+            chosen = chosen.join(broadcast_if_small(states.where(F.col("depth") == d).select("ctx")), "ctx", "left_semi")
         kept = chosen if kept is None else kept.unionByName(chosen)
     return kept
 

@@ -246,6 +246,27 @@ def test_base_score_and_model(spark, texts):
         assert r.score < 0
 
 
+def test_every_context_that_passes_is_a_state(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "MAX_STATES", 5, raising=False)
+    rng = random.Random(2)
+    texts = [[rng.choice([b"abra", b"cadabra", b"banana", b"bandana"]) for _ in range(30)] for _ in range(20)]
+    u, n = np.unique(suffix_tree_lm.grams_of(texts)[0], return_counts=True)
+    levels = {}
+    for c, k in zip(u.tolist(), n.tolist()):
+        for d in range(suffix_tree_lm.DEPTH + 1):
+            levels.setdefault((d, (c >> 8) & suffix_tree_lm._CONTEXT[d]), Counter())[c & 255] += k
+    want = set()
+    for (d, ctx), own in levels.items():
+        if d and sum(own.values()) >= suffix_tree_lm.MIN_COUNT:
+            up = levels[d - 1, ctx & suffix_tree_lm._CONTEXT[d - 1]]
+            gain = sum(k * math.log(k / sum(own.values()) / (up[s] / sum(up.values()))) for s, k in own.items())
+            if gain >= suffix_tree_lm.MIN_GAIN:
+                want.add((d, ctx))
+    grams = frame(spark, list(zip(u.tolist(), n.tolist())), "code long, n long")
+    assert len(want) > 5
+    assert {(r.depth, r.ctx) for r in suffix_tree_lm._contexts(grams).collect() if r.depth} == want
+
+
 def test_tail_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "HEAD", 2)
     docs = frame(spark, [(i, f"common common w{i % 7} rare{i}") for i in range(50)] + [(3, "common common w3 rare3")])
