@@ -79,8 +79,9 @@ def per_document(
     """Add columns computed by Python from whole texts, a few documents at a time.
 
     ``make()`` is called once in each task and returns a function from a list of
-    UTF-8 texts (null texts arrive empty) to the new columns, whose names and types
-    ``schema`` gives. The other ``columns`` pass through as Arrow buffers.
+    UTF-8 texts (null texts arrive empty) to the new columns, lists or Arrow arrays,
+    whose names and types ``schema`` gives. The other ``columns`` pass through as
+    Arrow buffers.
     """
     passed = [df.schema[c] for c in columns]
     out = df.sparkSession.createDataFrame([], schema).schema
@@ -95,7 +96,7 @@ def per_document(
                 part = batch.slice(start, SLICE_ROWS)
                 new = work(texts_of(part.column(part.num_columns - 1)))
                 arrays = [part.column(i) for i in range(part.num_columns - 1)]
-                arrays += [pa.array(new[k.name], type=k.type) for k in kinds]
+                arrays += [x if isinstance(x := new[k.name], pa.Array) else pa.array(x, type=k.type) for k in kinds]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in passed] + kinds.names)
 
     # By position, so that extra or clashing column names of the input do no harm.

@@ -210,19 +210,60 @@ def test_held_out_accuracy(spark):
 # --- 4 suffix tree -----------------------------------------------------------
 
 
+class BruteTree:
+    """The suffix tree by its definition: counts of all contexts, and the states among them."""
+
+    def __init__(self, texts):
+        self.levels = defaultdict(Counter)
+        for code in (c for t in texts for c in suffix_tree_lm.grams_of([t])[0].tolist()):
+            for d in range(suffix_tree_lm.DEPTH + 1):
+                self.levels[d, (code >> 8) & suffix_tree_lm._CONTEXT[d]][code & 255] += 1
+        self.states = set()
+        for (d, ctx), own in self.levels.items():
+            if d and sum(own.values()) >= suffix_tree_lm.MIN_COUNT:
+                up = self.levels[d - 1, ctx & suffix_tree_lm._CONTEXT[d - 1]]
+                gain = sum(k * math.log(k / sum(own.values()) / (up[s] / sum(up.values()))) for s, k in own.items())
+                if gain >= suffix_tree_lm.MIN_GAIN:
+                    self.states.add((d, ctx))
+
+    def p(self, ctx, sym):
+        root = self.levels[0, 0]
+        p = (root[sym] + 0.5) / (sum(root.values()) + 128)
+        for d in range(1, suffix_tree_lm.DEPTH + 1):
+            at = (d, ctx & suffix_tree_lm._CONTEXT[d])
+            if at in self.states:
+                own = self.levels[at]
+                p = (own[sym] + len(own) * p) / (sum(own.values()) + len(own))
+        return p
+
+    def score(self, text):
+        return sum(math.log10(self.p(c >> 8, c & 255)) for c in suffix_tree_lm.grams_of([text])[0].tolist())
+
+
 def test_every_state_is_a_distribution():
-    train = [t.split() for t in [b"the cat sat on the mat", b"the cat ran", b"a dog sat on the cat"] * 30]
-    codes, _ = suffix_tree_lm.grams_of(train)
-    u, n = np.unique(codes, return_counts=True)
-    rows = [(d, (c >> 8) & suffix_tree_lm._CONTEXT[d], c & 255, k) for c, k in zip(u.tolist(), n.tolist()) for d in range(suffix_tree_lm.DEPTH + 1)]
-    total = Counter()
-    for d, ctx, sym, k in rows:
-        total[d, ctx, sym] += k
-    tree = suffix_tree_lm.SuffixTree(*np.array([(*key, k) for key, k in total.items()], np.int64).T)
+    tree = BruteTree([t.split() for t in [b"the cat sat on the mat", b"the cat ran", b"a dog sat on the cat"] * 30])
     for context in (b"the c", b"zzzzz", b"he ca", b"\xff\xff\xff\xff\xff", b"q the"):
         ctx = int.from_bytes(context, "big")
-        p = 10 ** tree.log10(np.array([(ctx << 8) | s for s in range(256)], np.int64))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-9)
+        assert math.isclose(sum(tree.p(ctx, s) for s in range(256)), 1, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("head_rows, bits", [(400, 1 << 20), (0, 64)])
+def test_suffix_tree_scores_against_brute_force(spark, monkeypatch, head_rows, bits):
+    """Whatever part of the tree is sent to the tasks, and however full the filter is, scores are those of the whole tree."""
+    monkeypatch.setattr(suffix_tree_lm, "HEAD_ROWS", head_rows)
+    monkeypatch.setattr(suffix_tree_lm, "FILTER_BITS", bits)
+    rng = random.Random(4)
+    syllables = ["ab", "ra", "ca", "dab", "ba", "na", "nda", "Ünï"]
+    docs = [(i, " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    docs += [(3, docs[3][1]), (None, None), (None, docs[5][1]), (61, "unseen qq words"), (62, "")]
+    known = {i: (t or "").encode().lower().split() for i, (_, t) in enumerate(docs)}
+    tree = BruteTree([known[i] for i in range(40)])
+    assert len(tree.states) > 30
+    frame_ = frame(spark, [(d, t, i) for i, (d, t) in enumerate(docs)], "doc_id long, text string, at int")
+    rows = suffix_tree_lm.score(frame_, frame_.where("at < 40"), ["doc_id", "at"]).collect()
+    assert sorted(r["at"] for r in rows) == list(range(len(docs)))
+    for r in rows:
+        assert math.isclose(r.score, tree.score(known[r["at"]]), rel_tol=1e-9, abs_tol=1e-6)
 
 
 def test_grams_of_texts_stand_alone():
@@ -246,25 +287,19 @@ def test_base_score_and_model(spark, texts):
         assert r.score < 0
 
 
-def test_every_context_that_passes_is_a_state(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree_lm, "MAX_STATES", 5, raising=False)
+def test_every_context_that_passes_is_a_state(spark):
     rng = random.Random(2)
     texts = [[rng.choice([b"abra", b"cadabra", b"banana", b"bandana"]) for _ in range(30)] for _ in range(20)]
     u, n = np.unique(suffix_tree_lm.grams_of(texts)[0], return_counts=True)
-    levels = {}
-    for c, k in zip(u.tolist(), n.tolist()):
-        for d in range(suffix_tree_lm.DEPTH + 1):
-            levels.setdefault((d, (c >> 8) & suffix_tree_lm._CONTEXT[d]), Counter())[c & 255] += k
-    want = set()
-    for (d, ctx), own in levels.items():
-        if d and sum(own.values()) >= suffix_tree_lm.MIN_COUNT:
-            up = levels[d - 1, ctx & suffix_tree_lm._CONTEXT[d - 1]]
-            gain = sum(k * math.log(k / sum(own.values()) / (up[s] / sum(up.values()))) for s, k in own.items())
-            if gain >= suffix_tree_lm.MIN_GAIN:
-                want.add((d, ctx))
     grams = frame(spark, list(zip(u.tolist(), n.tolist())), "code long, n long")
-    assert len(want) > 5
-    assert {(r.depth, r.ctx) for r in suffix_tree_lm._contexts(grams).collect() if r.depth} == want
+    keys = [r.key for r in suffix_tree_lm.grow(grams)[0].collect() if r.key & suffix_tree_lm._STATE]
+    assert {(k & 7, k >> 12) for k in keys} == BruteTree(texts).states
+
+
+@needs_data
+def test_suffix_tree_beats_the_base_on_held_out_documents(spark):
+    rows = [r for r in catalogue.QUERIES["op4_suffix_tree_lm"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
 def test_tail_words_are_joined(spark, monkeypatch):
