@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,9 @@ LOWER = UPPER.lower()
 #: Rows and bytes that may be broadcast once they have been counted.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+#: Rows of a range that one task runs sums over, and the number of ranges.
+RANGE_ROWS = 50_000
+MOST_RANGES = 4_096
 #: Documents that a Python task turns into Python objects at a time.
 SLICE_ROWS = 128
 
@@ -65,6 +69,34 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     return F.broadcast(df) if seen[0] <= rows and seen[1] <= size else df
 
 
+def ranges_of(rows: int) -> int:
+    """Into how many ranges so many rows are cut: never more than their totals fit into one task."""
+    return max(1, min(MOST_RANGES, math.ceil(rows / RANGE_ROWS)))
+
+
+def ahead(df: DataFrame, order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name in ``sums``, the sum of that column over all rows that come before.
+
+    The rows are cut into ranges of the order; the sums of the ranges, a bounded number,
+    are all that one task sees of the whole. Rows equal in ``order`` share no order.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranges = ranges_of(df.count())
+    parts = df.select("*", *[c.cast("long").alias(f"__{n}") for n, c in sums.items()])
+    if ranges == 1:
+        inside = Window.orderBy(*order)  # RANGE_ROWS rows at most
+    else:
+        parts = materialize(parts.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+        totals = parts.groupBy(F.col("__range").alias("__r")).agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in sums])
+        upto = Window.orderBy("__r")  # one row for each range
+        totals = totals.select("__r", *[(F.sum(f"__t_{n}").over(upto) - F.col(f"__t_{n}")).alias(f"__b_{n}") for n in sums])
+        parts = parts.join(F.broadcast(totals), F.col("__range") == F.col("__r"))  # MOST_RANGES rows at most
+        inside = Window.partitionBy("__range").orderBy(*order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = [F.sum(f"__{n}").over(inside) - F.col(f"__{n}") + (F.col(f"__b_{n}") if ranges > 1 else F.lit(0)) for n in sums]
+    return parts.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in zip(sums, found)])
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

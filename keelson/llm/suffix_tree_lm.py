@@ -200,14 +200,16 @@ def grow(grams: DataFrame) -> tuple[DataFrame, np.ndarray]:
         rows = rows.withColumn("gain", F.sum(F.round(F.col("n") * ratio * GAIN_SCALE).cast("long")).over(own))
         state = F.col("gain") >= int(MIN_GAIN * GAIN_SCALE)
         p = (F.col("n") + F.col("kinds") * F.col("q")) / (F.col("total") + F.col("kinds"))
-        rows = materialize(rows.select("ctx", "sym", "n", "total", "kinds", state.alias("state"), F.when(state, p).otherwise(F.col("q")).alias("p")))
-        above, kept = rows, rows.where("state")
-        symbols = kept.select(_key(F.col("ctx"), F.col("sym"), 0, d).alias("key"), _fixed(F.col("p")).alias("value"), "total")
+        rows = rows.withColumn("state", state).withColumn("p", F.when(state, p).otherwise(F.col("q")))
+        rows = rows.select("ctx", "sym", "n", "total", "kinds", "state", "p", (F.min("sym").over(own) == F.col("sym")).alias("first"))
+        if d < DEPTH:
+            above = rows = materialize(rows)
+        symbol = F.struct(_key(F.col("ctx"), F.col("sym"), 0, d).alias("key"), _fixed(F.col("p")).alias("value"))
         back = _fixed(F.col("kinds") / (F.col("total") + F.col("kinds")))
-        first = kept.groupBy("ctx").agg(F.max("kinds").alias("kinds"), F.max("total").alias("total"))
-        states = first.select(_key(F.col("ctx"), F.lit(0).cast("long"), _STATE, d).alias("key"), back.alias("value"), "total")
-        both = symbols.unionByName(states)
-        tree = both if tree is None else tree.unionByName(both)
+        whole = F.struct(_key(F.col("ctx"), F.lit(0).cast("long"), _STATE, d).alias("key"), back.alias("value"))
+        both = F.when(F.col("first"), F.array(symbol, whole)).otherwise(F.array(symbol))
+        part = rows.where("state").select(F.explode(both).alias("x"), "total").select("x.key", "x.value", "total")
+        tree = part if tree is None else tree.unionByName(part)
     tree = materialize(tree)
     for level in levels[:DEPTH]:
         discard(level)

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keelson.llm import catalogue, components, decontam, line_dedup, mixing, near_copies, near_dup, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_tree_lm, url_filter
+from keelson.llm import catalogue, common, components, decontam, line_dedup, mixing, near_copies, near_dup, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_tree_lm, url_filter
 
 DATA = Path("/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -362,6 +362,39 @@ def test_mixing_targets_and_bounds(spark):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+def test_mixing_serves_rows_not_keys(spark, monkeypatch):
+    """Half of all keys null, some rows wholly equal, sums cut into many small ranges: the same as by brute force."""
+    monkeypatch.setattr(common, "RANGE_ROWS", 40)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 16)
+    rng = random.Random(3)
+    rows = [(None if rng.random() < 0.6 else i % 50, " ".join(["w"] * rng.randint(8, 12)) + f" {i}", "a") for i in range(300)]
+    rows += [(None, "ten " * 10, "a")] * 150 + [(7, None, "b"), (7, "x", None)]
+    rows += [(i, "word " * 20, "b") for i in range(100)]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, ["doc_id", "source"]).collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken in [k * r.size for k in range(4)]
+    assert target == pytest.approx(water_level(dict(sizes)))
+    assert all(abs(taken[s] - target[s]) <= 20 for s in sizes)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    want = con.sql(mixing.ORACLE_SQL).fetchall()
+    assert Counter((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in got) == Counter(want)
+
+
+def test_sums_ahead_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(common, "RANGE_ROWS", 7)
+    df = frame(spark, [(None if i == 50 else (i * 37) % 101, i) for i in range(100)], "k long, v long")
+    rows = sorted(common.ahead(df, [F.col("k").asc_nulls_last()], {"s": F.col("v"), "n": F.lit(1)}).collect(), key=lambda r: (r.k is None, r.k))
+    assert [r.n for r in rows] == list(range(100))
+    assert [r.s for r in rows] == [sum(x.v for x in rows[:i]) for i in range(100)]
+
+
 # --- 6 line dedup ------------------------------------------------------------
 
 
