@@ -5,25 +5,31 @@ Weak ones (login names, short or unlabelled secrets, endpoints) are reported onl
 where complementary parts co-occur: an identifier and a secret whose gap is within
 ``SCOPE`` code points link each other, and an endpoint within the scope of a linked
 part completes the credential. The linking is an interval join: parts are cut into
-blocks of ``SCOPE`` code points and semi-joined on document and block, so neither
-all pairs of a document nor a whole document meet in one place.
-
-All of it is DataFrame operations. Positions come from the gaps between matches,
-which ``split`` returns for the same leftmost, non-overlapping matches.
-
-Defined cases: a null text is empty and has no spans; weak parts that overlap a
-strong span are part of it and not reported again; repeated rows each get the same
-result; a null key is a key like any other; an empty table gives an empty table.
+blocks of ``SCOPE`` code points and semi-joined on row and block, so neither all
+pairs of a document nor a whole document meet in one place.
+
+All of it is DataFrame operations. One pass of each pattern marks the matches of a text
+by a sign that no pattern accepts; the text is then split at the marks, only the lengths
+of its pieces are kept, and positions are running sums over those, taken in rows of
+their own, so work is linear in text and matches. Patterns whose matches need a certain
+sign are tried only where the text has it.
+
+Defined cases: a null text is empty and has no spans; a text of any length is scanned
+whole, with any number of matches; weak parts that overlap a strong span are part of it
+and not reported again; spans that start together go by kind; repeated rows each get
+the same result; a null key is a key like any other, as rows are told apart by a number
+of their own; columns to keep travel inside a struct, so their names cannot clash; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialize, table
+from keelson.llm.common import broadcast_if_small, materialize, table
 
 SCOPE = 200
 
@@ -45,30 +51,56 @@ ENDPOINT = r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
 KINDS = ("assign", "access", "hex", "login", "short", "blob", "endpoint")
 LEAST_SECRET = 12
 
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
-
+#: What a match needs somewhere in the text, as cheap tests before the pattern; kinds that no test helps are absent.
+_NEEDS = {"assign": (":", "="), "login": (":", "="), "access": ("AKIA",), "endpoint": ("://",)}
+#: The same matches, found faster: a run is tried from its first sign only, a word from its possible first letters.
+_FAST = {
+    "assign": f"(?=[PpSsTtAa]){ASSIGN}",
+    "access": ACCESS,
+    "hex": f"(?<![0-9a-f]){HEX}",
+    "login": f"(?=[UuLlCcAa]){LOGIN}",
+    "blob": f"(?<![A-Za-z0-9+/]){BLOB}",
+    "endpoint": ENDPOINT,
+}
+#: The sign around matches, and one that stands for it in texts that have it; no pattern accepts either.
+_MARK, _OTHER = "\x00", "\x01"
 
-def _spans(text: Column, pattern: str, kind: Column | int, group: int | None = None) -> Column:
-    """(start, kind, end) of the matches of ``pattern``; ``kind`` may depend on the length of ``group``."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.char_length(x))
-    kinds = whole
-    if group is not None:
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        kinds = F.transform(values, lambda x: F.when(F.char_length(x) >= LEAST_SECRET, 0).otherwise(4))
-    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("size"), kinds.alias("kind"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+_SPAN = "array<struct<start:int,kind:int,end:int>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        k = x["kind"] if group is not None else F.lit(kind)
-        span = F.struct(begin.alias("start"), k.alias("kind"), end.alias("end"))
-        out = F.when(x["size"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
-        return F.struct(end.alias("at"), out.alias("out"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+def _lengths(body: Column, name: str) -> Column:
+    """Code points of each piece of the text: a gap, a match, a gap, a match ... ; null without a match."""
+    marked = F.regexp_replace(body, _FAST[name], f"{_MARK}$0{_MARK}")
+    needs = [body.contains(x) for x in _NEEDS.get(name, ())]
+    if needs:
+        marked = F.when(reduce(Column.__or__, needs), marked).otherwise("")
+    pieces = F.split(marked, _MARK, -1)
+    if name != "assign":
+        lengths = F.transform(pieces, lambda x: F.struct(F.char_length(x).alias("size"), F.lit(None).cast("int").alias("value")))
+    else:
+        value = lambda x: F.char_length(F.regexp_extract(x, ASSIGN, 2))
+        lengths = F.transform(pieces, lambda x, i: F.struct(F.char_length(x).alias("size"), F.when(i % 2 == 1, value(x)).alias("value")))
+    return F.when(F.size(pieces) > 1, lengths)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """uid, row and the pieces of each kind with matches, of every row (row, text)."""
+    body = F.translate(F.coalesce(F.col("text"), F.lit("")), _MARK, _OTHER)
+    kinds = [F.struct(F.lit(KINDS.index(n)).alias("kind"), _lengths(F.col("body"), n).alias("pieces")) for n in _FAST]
+    found = rows.select("row", body.alias("body")).select("row", F.array(*kinds).alias("found"))
+    found = found.select("row", F.filter("found", lambda x: x["pieces"].isNotNull()).alias("found"))
+    # It holds lengths, no texts; a number for each row, written with it, stands for the row from here on.
+    return materialize(found.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def _parts(marked: DataFrame) -> DataFrame:
+    """(uid, start, kind, end) of all matches."""
+    kinds = marked.select("uid", F.explode("found").alias("f")).select("uid", "f.kind", "f.pieces")
+    pieces = kinds.select("uid", "kind", F.posexplode("pieces").alias("i", "p")).select("uid", "kind", "i", "p.size", "p.value")
+    upto = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = pieces.withColumn("end", F.sum("size").over(upto).cast("int")).where(F.col("i") % 2 == 1)
+    kind = F.when(F.col("value") < LEAST_SECRET, KINDS.index("short")).otherwise(F.col("kind"))
+    return ends.select("uid", (F.col("end") - F.col("size")).alias("start"), kind.alias("kind"), "end")
 
 
 def _listing(spans: Column) -> Column:
@@ -84,60 +116,39 @@ def _blocks(parts: DataFrame, reach: int) -> DataFrame:
     return parts.withColumn("block", F.explode(F.sequence(low, F.floor((F.col("end") + reach) / SCOPE))))
 
 
+def _meeting(left: DataFrame, reach: int, right: DataFrame, test: Column) -> DataFrame:
+    """Rows of ``left`` that meet a row of ``right`` (os, oe) in their document by ``test``."""
+    other = _blocks(right, 0).select(F.col("uid").alias("o"), F.col("block").alias("ob"), F.col("start").alias("os"), F.col("end").alias("oe"))
+    same = (F.col("uid") == F.col("o")) & (F.col("block") == F.col("ob"))
+    return _blocks(left, reach).join(other, same & test, "left_semi").drop("block").distinct()
+
+
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of ``left`` that have a row of ``right`` in their document within the scope."""
-    other = _blocks(right, 0).select(
-        F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("block").alias("ob"), F.col("start").alias("os"), F.col("end").alias("oe")
-    )
-    where = [F.col("k1") == F.col("o1"), F.col("k2") == F.col("o2"), F.col("block") == F.col("ob")]
     gap = F.greatest(F.col("os") - F.col("end"), F.col("start") - F.col("oe"))
-    return _blocks(left, SCOPE).join(other, reduce(Column.__and__, where) & (gap <= SCOPE), "left_semi").drop("block").distinct()
+    return _meeting(left, SCOPE, right, gap <= SCOPE)
 
 
-def scan(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, then base and spans (arrays of start, kind, end) of every row."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(
-        F.filter(F.col("assigned"), lambda s: s["kind"] == 0), _spans(body, ACCESS, 1), _spans(body, HEX, 2)
-    )
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")
-    )
-    rows = rows.withColumn("assigned", _spans(body, ASSIGN, 0, group=2))
-    rows = rows.select(
-        "row",
-        F.xxhash64("key", "text").alias("k1"),
-        F.crc32(body.cast("binary")).alias("k2"),
-        base.alias("base"),
-        F.concat(
-            F.filter(F.col("assigned"), lambda s: s["kind"] == 4), _spans(body, LOGIN, 3), _spans(body, BLOB, 5), _spans(body, ENDPOINT, 6)
-        ).alias("weak"),
-    )
-    # Read twice below; it holds spans, no texts.
-    rows = materialize(rows)
-    some = rows.where(F.size("weak") > 0)
-    parts = some.select("k1", "k2", F.explode(F.concat("base", "weak")).alias("s")).select("k1", "k2", "s.*").distinct()
-    covered = some.select("k1", "k2", F.explode("base").alias("s")).select("k1", "k2", "s.*").distinct()
-    spans = _blocks(covered, 0).select(
-        F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("block").alias("ob"), F.col("start").alias("os"), F.col("end").alias("oe")
-    )
-    same = (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")) & (F.col("block") == F.col("ob"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
+    marked = _marked(rows)
+    parts = materialize(_parts(marked))
+    strong, weak = parts.where("kind < 3"), parts.where("kind >= 3")
+    # Only documents with weak parts have anything to link.
+    some = materialize(weak.select(F.col("uid").alias("w")).distinct())
+    strong_here = strong.join(broadcast_if_small(some), F.col("uid") == F.col("w"), "left_semi")
     overlap = (F.col("os") < F.col("end")) & (F.col("start") < F.col("oe"))
-    weak = _blocks(parts.where("kind >= 3"), 0)
-    inside = weak.join(spans, same & overlap, "left_semi").drop("block").distinct()
-    free = parts.join(inside, ["k1", "k2", "start", "kind", "end"], "left_anti")
-    free = materialize(free)
-    identifiers, secrets = free.where("kind in (1, 3)"), free.where("kind in (0, 4, 5)")
+    inside = _meeting(weak, 0, strong_here, overlap)
+    free = materialize(strong_here.unionByName(weak.join(inside, ["uid", "start", "kind", "end"], "left_anti")))
+    identifiers, secrets = free.where("kind in (1, 3)"), free.where("kind in (0, 2, 4, 5)")
     linked = materialize(_near(identifiers, secrets).unionByName(_near(secrets, identifiers)))
     told = linked.where("kind >= 3").unionByName(_near(free.where("kind = 6"), linked))
-    told = told.groupBy(F.col("k1").alias("t1"), F.col("k2").alias("t2")).agg(
-        F.collect_set(F.struct("start", "kind", "end")).alias("more")
-    )
-    linked_rows = some.join(told, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")), "left").select(
-        "row", "base", F.coalesce(F.concat("base", "more"), F.col("base")).alias("spans")
-    )
-    plain = rows.where(F.size("weak") == 0).select("row", "base", F.col("base").alias("spans"))
-    return plain.unionByName(linked_rows).select(*[F.col("row").getField(c).alias(c) for c in keep], "base", "spans")
+    spans = strong.unionByName(told).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("spans"))
+    whole = marked.select("uid", "row").join(broadcast_if_small(materialize(spans)), F.col("uid") == F.col("u"), "left")
+    every = F.coalesce(F.col("spans"), F.array().cast(_SPAN))
+    base = F.filter(every, lambda s: s["kind"] < 3)
+    return whole.select(*[F.col("row").getField(c).alias(c) for c in keep], base.alias("base"), every.alias("spans"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +200,8 @@ def _sql() -> str:
     free as (select * from found a where kind < 3 or not exists (
       select 1 from found b where b.doc_id = a.doc_id and b.kind < 3 and b.start < a."end" and a.start < b."end")),
     linked as (
-      select * from free a where (kind in (1, 3) and exists (select 1 from free b where {near} and b.kind in (0, 4, 5)))
-        or (kind in (0, 4, 5) and exists (select 1 from free b where {near} and b.kind in (1, 3)))),
+      select * from free a where (kind in (1, 3) and exists (select 1 from free b where {near} and b.kind in (0, 2, 4, 5)))
+        or (kind in (0, 2, 4, 5) and exists (select 1 from free b where {near} and b.kind in (1, 3)))),
     told as (
       select * from found where kind < 3
       union all select * from linked where kind >= 3

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -640,6 +641,21 @@ def test_base_spans_against_regular_expressions(spark):
         assert sorted(base, key=key) == sorted(want, key=key) and set(base) <= set(every)
 
 
+def test_hex_runs_are_secrets_and_marks_in_texts_do_no_harm(spark):
+    key = "0123456789abcdef0123"
+    got = spans_of(spark, f"user: bob {key}", f"\x00\x00 \x01{key}\x00", f"{key}zzzz")
+    assert got[0] == ([("hex", 10, 30)], [("login", 0, 9), ("hex", 10, 30)])
+    assert got[1][0] == [("hex", 4, 24)] and got[2][0] == [("hex", 0, 20)]
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 300_000
+    began = time.perf_counter()
+    base, every = spans_of(spark, "0123456789abcdef " * n + "user: bob")[0]
+    assert time.perf_counter() - began < 120
+    assert base == [("hex", 17 * i, 17 * i + 16) for i in range(n)] and every == base + [("login", 17 * n, 17 * n + 9)]
+
+
 # --- the pipeline ------------------------------------------------------------
 
 
