@@ -1,15 +1,21 @@
 """Reproducible shuffle into shards by a Feistel permutation of row numbers.
 
-Every row gets a global row number from its key alone (hash bucket, then key, then
-content), never from the layout of the input. A keyed Feistel network with cycle
+Every row gets a global row number from its key and content (hash bucket, then key,
+then content), never from the layout of the input. A keyed Feistel network with cycle
 walking permutes ``[0, n)``; the permuted number modulo the shard count is the shard
 and its quotient the slot, so counts differ by at most one, slots have no gaps, and
 the place of any row can be computed without reading others.
 
+Buckets are of key, checksum and size together, so a repeated or null key is spread
+over all of them. Rows equal in all of these are interchangeable; a group of them that
+would crowd its bucket is taken out, gets a run of numbers after all others, and its
+rows are counted off task by task.
+
 Defined cases: a null text has no bytes and the checksum of the empty text; a null
 key is a key like any other; rows equal in key and text are interchangeable and get
-neighbouring row numbers, hence different places; an empty table gives an empty
-table. Columns to keep travel inside a struct, so their names cannot clash.
+different row numbers, hence different places; a text of any length is one row, shuffled
+once; an empty table gives an empty table. Columns to keep travel inside a struct, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -18,16 +24,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import broadcast_if_small, table
+from keelson.llm.common import ahead, broadcast_if_small, materialize, table
 
 SHARDS = 40
 KEY = 20260131
 ROUNDS = 6
 #: Rows that a numbering bucket holds on average.
 BUCKET_ROWS = 5_000
+#: A bucket of so many times that is looked at for groups of interchangeable rows.
+CROWD = 2
 
 
 def _round(half: np.ndarray, key: int, turn: int, bits: int) -> np.ndarray:
@@ -61,15 +69,13 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return x
 
 
-def _places(rows: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
-    """``rows`` (row, key, size, text_crc32) and the columns shard and slot.
+_SAME = ("key", "text_crc32", "size", "hash")
 
-    Counts by bucket are summed on the map side; then the rows are shuffled once.
-    """
-    buckets = max(1, math.ceil(total / BUCKET_ROWS))
+
+def _numbered(rows: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` with ``number``: those of the buckets before, then the place in the sorted bucket."""
     pages = max(1, math.isqrt(buckets))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    counts = rows.groupBy("bucket").count().withColumn("page", F.floor(F.col("bucket") / pages))
+    counts = counts.withColumn("page", F.floor(F.col("bucket") / pages))
     # Prefix sums in two levels, so that no task sees more than about sqrt(buckets) rows.
     by_page = counts.groupBy("page").agg(F.sum("count").alias("n"))
     tops = by_page.select("page", (F.sum("n").over(Window.orderBy("page")) - F.col("n")).alias("top"))
@@ -77,12 +83,65 @@ def _places(rows: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
     offsets = counts.join(tops, "page").select(
         "bucket", (F.col("top") + F.sum("count").over(inner) - F.col("count")).alias("offset")
     )
-    order = Window.partitionBy("bucket").orderBy("key", "text_crc32", "size")
-    numbered = (
-        rows.withColumn("index", F.row_number().over(order) - 1)
-        .join(broadcast_if_small(offsets), "bucket")
-        .withColumn("number", F.col("offset") + F.col("index"))
-    )
+    order = Window.partitionBy("bucket").orderBy(*_SAME)
+    numbered = rows.withColumn("index", F.row_number().over(order) - 1).join(broadcast_if_small(offsets), "bucket")
+    return numbered.withColumn("number", F.col("offset") + F.col("index"))
+
+
+def _same(groups: DataFrame) -> tuple[DataFrame, Column]:
+    """``groups`` renamed, and the condition that joins rows with them."""
+    renamed = groups.select(*[F.col(c).alias(f"g_{c}") for c in _SAME], *[c for c in groups.columns if c not in _SAME])
+    condition = F.col("key").eqNullSafe(F.col("g_key"))
+    for c in _SAME[1:]:
+        condition &= F.col(c) == F.col(f"g_{c}")
+    return renamed, condition
+
+
+def _crowds(rows: DataFrame, counts: DataFrame) -> DataFrame | None:
+    """(key, text_crc32, size, hash, n) of large groups of interchangeable rows; None if there are none."""
+    crowded = counts.where(F.col("count") > CROWD * BUCKET_ROWS).select("bucket")
+    if not crowded.limit(1).count():
+        return None
+    there = rows.join(broadcast_if_small(crowded), "bucket", "left_semi")
+    groups = materialize(there.groupBy(*_SAME).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS))
+    return groups if groups.limit(1).count() else None
+
+
+def _counted_off(rows: DataFrame, groups: DataFrame, first: int) -> DataFrame:
+    """``number`` for the rows of ``groups``: a run for each group, from ``first`` on."""
+    groups = ahead(groups, [F.col(c).asc_nulls_first() for c in _SAME], {"offset": F.col("n"), "g": F.lit(1)})
+    renamed, condition = _same(groups)
+    rows = rows.join(broadcast_if_small(materialize(renamed)), condition).drop(*[f"g_{c}" for c in _SAME], "n")
+    rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    rows = materialize(rows)  # numbered by where they are written
+    parts = rows.groupBy(F.col("g").alias("pg"), F.col("part").alias("pp")).count()
+    upto = Window.partitionBy("pg").orderBy("pp")  # one row for each task
+    parts = parts.select("pg", "pp", (F.sum("count").over(upto) - F.col("count")).alias("before"))
+    rows = rows.join(broadcast_if_small(parts), (F.col("g") == F.col("pg")) & (F.col("part") == F.col("pp")))
+    nth = F.row_number().over(Window.partitionBy("g", "part").orderBy("uid")) - 1
+    return rows.withColumn("number", F.lit(first) + F.col("offset") + F.col("before") + nth)
+
+
+def _places(rows: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
+    """``rows`` (row, key, size, text_crc32, hash) and the columns shard and slot.
+
+    Counts by bucket are summed on the map side; then the rows are shuffled once.
+    """
+    buckets = max(1, math.ceil(total / BUCKET_ROWS))
+    columns = rows.columns
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*_SAME), F.lit(buckets)))
+    counts = materialize(rows.groupBy("bucket").count())
+    if (groups := _crowds(rows, counts)) is None:
+        numbered = _numbered(rows, counts, buckets).select(*columns, "number")
+    else:
+        renamed, condition = _same(groups)
+        others = rows.join(broadcast_if_small(renamed.drop("n")), condition, "left_anti")
+        less = groups.groupBy(F.pmod(F.xxhash64(*_SAME), F.lit(buckets)).alias("b")).agg(F.sum("n").alias("gone"))
+        left = counts.join(broadcast_if_small(less), F.col("bucket") == F.col("b"), "left")
+        left = left.select("bucket", (F.col("count") - F.coalesce("gone", F.lit(0))).alias("count"))
+        held = groups.agg(F.sum("n")).first()[0]
+        numbered = _numbered(others, left, buckets).select(*columns, "number")
+        numbered = numbered.unionByName(_counted_off(rows.select(*columns), groups, total - held).select(*columns, "number"))
 
     @F.pandas_udf("long")
     def place(numbers: pd.Series) -> pd.Series:
@@ -103,6 +162,7 @@ def _sharded(docs: DataFrame, keep: list[str], shards: int, key: str, text: str,
         F.col(f"`{key}`").alias("key"),
         (F.length(body).cast("long") + 16).alias("size"),
         F.crc32(body).alias("text_crc32"),
+        F.xxhash64(body).alias("hash"),
     )
     return _places(rows, docs.count(), shards, seed)
 
