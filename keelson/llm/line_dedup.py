@@ -19,8 +19,9 @@ lines that their list cannot be broadcast.
 Defined cases: a null text stays null and has no lines; blank lines are never part of
 a gram and go only inside a deleted run; a run may repeat within one document; rows
 equal in key and text count as one document and get the same result; a null key comes
-before all others; an empty table gives an empty table; other columns pass through in
-a struct, so their names cannot clash.
+before all others; of equal minima of a window, and of equal earlier runs, the one that
+comes first counts; a text of any length is looked at whole, line by line; an empty table
+gives an empty table; other columns pass through in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -49,12 +50,28 @@ def _identified(docs: DataFrame, key: str, text: str) -> list[Column]:
     ]
 
 
+def _distinct(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, k1, k2 and text of each distinct document.
+
+    Repeated ones are found by their hashes alone, so that neither texts nor the lines
+    of a text that occurs many times meet in one task.
+    """
+    rows = docs.select(*_identified(docs, key, text), F.col(f"`{text}`").alias("text"))
+    repeated = materialize(rows.groupBy(*_DOC).count().where("count > 1").select(F.col("k1").alias("r1"), F.col("k2").alias("r2")))
+    if not repeated.limit(1).count():
+        return rows
+    repeated = broadcast_if_small(repeated)
+    same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))
+    one = rows.join(repeated, same, "left_semi").groupBy(*_DOC).agg(F.first("text").alias("text"))
+    return rows.join(repeated, same, "left_anti").unionByName(one)
+
+
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Fingerprints: gram hash, place, extent and the lines around, of each distinct document."""
-    lines = docs.select(*_identified(docs, key, text), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "line"))
+    lines = _distinct(docs, key, text).select(*_DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select(*_DOC, "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words"))
     # One shuffle, by document; what follows keeps that partitioning.
-    lines = lines.where("words > 0").repartition(*_DOC).dropDuplicates([*_DOC, "pos"])
+    lines = lines.where("words > 0").repartition(*_DOC)
     doc = Window.partitionBy(*_DOC)
     running = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("upto", F.sum("words").over(running)).withColumn("s", F.col("upto") - F.col("words"))
