@@ -8,11 +8,18 @@ document around each seed is aligned with the item by words, and scores its loca
 alignment (match 2, mismatch -1, gap -1) as a share of the most the item can reach.
 
 Items are processed in blocks of a bounded number of words, each block being sent to
-all tasks; a block's size, not the number of items, bounds what is broadcast.
-
-Defined cases: a null or empty text contains nothing; an item of fewer than
-``GRAM`` words has no seeds and is never found; equal items each report their hits;
-repeated documents each report theirs; empty tables give an empty table.
+all tasks; a block's size, not the number of items, bounds what is broadcast. The corpus
+is read once for each block.
+
+Of an item of more than ``ITEM_WORDS`` words that many aligned ones count as the whole, so
+``MIN_SHARE`` of them, some two sentences, are a leak however long the item is.
+
+Defined cases: a null or empty text contains nothing, and an item without words is in no
+text; an item of fewer than ``GRAM`` words is held by a text that consists of its words
+alone; equal items each report their hits; of equal scores in a text the first place
+counts; repeated documents each report theirs, a null key being a key; a text of any
+length is searched whole; an item longer than a block is a block of its own; kept columns
+travel inside a struct, so their names cannot clash; empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialize, per_document, table
+from keelson.llm.common import discard, materialize, per_document, table
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -70,6 +77,10 @@ class Block:
         numbers: dict[str, int] = {}
         self.items = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int64) for _, t in items]
         self.numbers, self.base = numbers, len(numbers) + 1
+        self.short: dict[tuple, list[int]] = {}
+        for i, x in enumerate(self.items):
+            if 0 < len(x) < GRAM:
+                self.short.setdefault(tuple(x.tolist()), []).append(i)
         codes = [self.codes(x) for x in self.items]
         self.grams = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]))
         # seeds: under each n-gram, the items and places that hold it
@@ -106,6 +117,8 @@ class Block:
     def hits(self, text: bytes) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, last word) of each item that the text holds, at its best place."""
         x, at, grams = self.occurrences(text)
+        if len(x) < GRAM:
+            return [(i, 1.0, 0, len(x) - 1) for i in self.short.get(tuple(x.tolist()), ())]
         if not at.size:
             return []
         n = self.first[grams + 1] - self.first[grams]
@@ -185,6 +198,7 @@ def find(
         names = spark.createDataFrame(list(enumerate(block.keys)), f"i int, item {kind}")
         part = hits.select("doc", "h.*").join(F.broadcast(names), "i")
         part = materialize(part.select("doc", "item", "score", "first_word", "last_word"))
+        chosen.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         doc_kind = docs.schema[key].dataType.simpleString()
@@ -194,11 +208,16 @@ def find(
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item; each row is judged by itself, without a join."""
-    names = docs.columns
+    names, sent, source, read = docs.columns, None, docs, docs
     for block in _blocks(items, item_key, item_text):
-        chosen = docs.sparkSession.sparkContext.broadcast(block)
-
-        def search(chosen=chosen):
+        if sent:  # what the last block left is written, so no block is searched for twice
+            docs = materialize(docs)
+            sent.destroy()
+            if read is not source:
+                discard(read)
+        read, sent = docs, docs.sparkSession.sparkContext.broadcast(block)
+
+        def search(chosen=sent):
             return lambda texts: {"held": [bool(chosen.value.hits(t)) for t in texts]}
 
         whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
