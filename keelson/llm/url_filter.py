@@ -11,9 +11,10 @@ removes false positives. The filter has at most ``MAX_BLOCKS`` blocks, a bound o
 All of it is DataFrame operations, so it stays in generated code.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is
-allowed, unless a rule fits; repeated URLs get the same verdict, and repeated or null
-list entries count once or not at all; an empty list blocks nothing; an empty table
-gives an empty table; columns to keep travel inside a struct.
+allowed, unless a rule fits; of fitting rules of equal length the first given decides; a
+URL of any length is judged whole; repeated URLs get the same verdict, and repeated or
+null list entries count once or not at all; an empty list blocks nothing; an empty table
+gives an empty table; columns to keep travel inside a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Names within hosts whose URLs the registered query lists.
+#: Names within hosts whose URLs the registered query lists ...
 LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: ... besides one in so many of all other canonical URLs, by a hash that no host or path gives away.
+LISTED_CLASSES = 16
 #: Query parameters that do not change what a URL shows.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 BITS_PER_URL = 16
@@ -114,11 +117,16 @@ def judge(pages: DataFrame, keep: list[str], listed: DataFrame, url: str = "url"
     )
 
 
+def _listed_class(canon: Column) -> Column:
+    return F.conv(F.substring(F.md5(canon.cast("binary")), 1, 8), 16, 10).cast("long") % LISTED_CLASSES == 0
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    # The list of this query: every canonical URL whose host carries a listed name.
-    listed = pages.where(F.arrays_overlap(F.split(host_of(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_NAMES))))
-    return judge(pages, ["page_id"], listed.select(canonical(F.col("url"))))
+    # The list of this query: every canonical URL whose host carries a listed name, and a hash class of the others.
+    urls = pages.select(host_of(F.col("url")).alias("host"), canonical(F.col("url")).alias("canon"))
+    named = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, LISTED_NAMES)))
+    return judge(pages, ["page_id"], urls.where(named | _listed_class(F.col("canon"))).select("canon"))
 
 
 _CANON = r"""
@@ -139,7 +147,8 @@ with parts as (
 urls as (select page_id, host, path, {_CANON} as canon from parts),
 listed as (
   select distinct canon from urls
-  where list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])),
+  where list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+    or ('0x' || substr(md5(canon), 1, 8))::bigint % {LISTED_CLASSES} = 0),
 ruled as (
   select *, case
     when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/de/8') then 'example.net/de/8'
