@@ -172,6 +172,43 @@ def test_blocks_of_items(spark, monkeypatch):
     assert [r.doc_id for r in decontam.clean(frame(spark, docs), frame(spark, items, "item_id int, text string")).collect()] == [9]
 
 
+def test_short_items_are_found_as_whole_texts_only(spark):
+    items = frame(spark, [(1, "Two words"), (2, "yes"), (3, None), (4, "yes!")], "item_id int, text string")
+    docs = frame(spark, [(1, "two  words."), (2, "these two words"), (3, "Yes"), (4, "yes or no"), (5, None), (6, "")])
+    assert sorted((r.doc, r.item) for r in decontam.find(docs, items).collect()) == [(1, 1), (3, 2), (3, 4)]
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == [2, 4, 5, 6]
+
+
+def test_finds_what_full_alignments_find(spark):
+    """Every document against every item, aligned whole; blocks of items change nothing."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(400)}"
+    items = [(i, [word() for _ in range(rng.choice([3, 8, 20, 45, 90]))]) for i in range(12)]
+    docs = []
+    for d in range(200):
+        body = [word() for _ in range(rng.choice([0, 20, 120]))]
+        for _, item in rng.sample(items, rng.choice([0, 1, 2])):
+            rate = rng.choice([0, 0.1, 0.25, 0.4])
+            copy = [x if rng.random() >= rate else rng.choice([word(), f"{x} {word()}", ""]) for x in item]
+            body[(at := rng.randrange(len(body) + 1)) : at] = " ".join(copy).split()
+        docs.append((d, body))
+    number: dict = {}
+    coded = lambda w: np.array([number.setdefault(x, len(number)) for x in w], np.int64)
+    want = set()
+    for d, body in docs:
+        grams = {tuple(body[i : i + 3]) for i in range(len(body) - 2)}
+        for i, item in items:
+            share = decontam.align(coded(item), coded(body))[0] / (2 * min(len(item), decontam.ITEM_WORDS))
+            if share >= decontam.MIN_SHARE and any(tuple(item[j : j + 3]) in grams for j in range(len(item) - 2)):
+                want.add((d, i))
+    texts = frame(spark, [(d, " ".join(w)) for d, w in docs])
+    benchmark = frame(spark, [(i, " ".join(w)) for i, w in items], "item_id int, text string")
+    got = {(r.doc, r.item) for r in decontam.find(texts, benchmark).collect()}
+    assert len(want) > 100 and got == want
+    kept = {r.doc_id for r in decontam.clean(texts, benchmark).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
 # --- 3 quality classifier ----------------------------------------------------
 
 
@@ -446,6 +483,13 @@ def test_line_dedup_takes_every_later_run(spark):
         assert all(not words(lines[i]) or lines[i] in kept for i in gone)  # an equal line came before and stays
 
 
+def test_equal_rows_count_as_one_document(spark):
+    run = "\n".join(f"line {i} " + " ".join(f"w{i}x{j}" for j in range(8)) for i in range(12))
+    rows = [(None, run)] * 150 + [(3, "head\n" + run)] * 2 + [(4, None)] * 3 + [(4, "")]
+    got = line_dedup.dedup(frame(spark, rows), ["doc_id"]).collect()
+    assert Counter((r.doc_id, r.removed) for r in got) == {(None, ""): 150, (3, "1-12"): 2, (4, ""): 4}
+
+
 def test_unrepeated_lines_stay(spark):
     docs = [(i, "\n".join(f"line {i} {j} " + "x " * 20 + "shared" for j in range(5))) for i in range(20)]
     assert {r.removed_lines for r in line_dedup.dedup(frame(spark, docs), ["doc_id"]).collect()} == {0}
@@ -512,6 +556,33 @@ def test_shards(spark):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
+def test_shards_of_null_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)
+    rng = random.Random(6)
+    rows = [(None if rng.random() < 0.5 else i, f"text {rng.randrange(50)}") for i in range(400)] + [(None, "same")] * 300 + [(5, "other")] * 90 + [(None, None)] * 60
+    docs = frame(spark, rows)
+    want = None
+    for parts in (3, 7):
+        got = sharding.shard(docs.repartition(parts), ["doc_id", "text"], shards=7).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+        places = sorted(r.slot * 7 + r.shard for r in got)
+        assert places == list(range(len(rows)))
+        found = sorted(((r.doc_id, r.text, r.shard, r.slot) for r in got), key=repr)
+        assert want in (None, found)
+        want = found
+
+
+def test_large_groups_of_equal_rows_leave_even_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    docs = spark.range(0, 4000, 1, 16).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 == 1, F.lit("same")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    rows = docs.select(F.struct("doc_id").alias("row"), F.col("doc_id").alias("key"), F.lit(1).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.xxhash64("text").alias("hash"))
+    buckets = rows.withColumn("bucket", F.pmod(F.xxhash64(*sharding._SAME), F.lit(80)))
+    crowds = sharding._crowds(buckets, buckets.groupBy("bucket").count())
+    assert [(r.key, r.n) for r in crowds.collect()] == [(None, 1000)]
+    others = buckets.where("not (key is null and hash = xxhash64('same'))").groupBy("bucket").count()
+    assert others.agg(F.max("count")).first()[0] <= 2 * 3000 / 80
+
+
 # --- 9 SimHash ---------------------------------------------------------------
 
 
@@ -603,6 +674,49 @@ def test_stage_drops_near_copies(spark, monkeypatch, long_list):
     assert kept == {d for d, _ in docs} - copies
 
 
+@pytest.mark.parametrize("long_list", [32, 1])
+def test_near_copies_connect_as_by_brute_force(spark, monkeypatch, long_list):
+    """Stars of copies edited apart, chains, and families that share keys without being near copies."""
+    monkeypatch.setattr(near_copies, "LONG_LIST", long_list)
+    rng = random.Random(17)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def edited(w, edits):
+        w = list(w)
+        for p in rng.sample(range(len(w)), edits):
+            w[p] = fresh(1)[0]
+        return w
+
+    texts = []
+    for family in range(3):
+        base = fresh(200)
+        texts += [base] + [edited(base, 4) for _ in range(45)]  # near the base, seldom near each other
+        for _ in range(6):  # each a chain of its own, away from the base
+            w = edited(base, 12)
+            for _ in range(4):
+                w = edited(w, 2)
+                texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [near_copies.shingles(t.encode()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and find(i) != find(j):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {i: find(i) for i in range(len(rows))}
+    assert 10 < len(set(want.values())) < len(rows) - 100
+    got = {r.doc: r.component for r in near_dup.group_copies(frame(spark, rows)).collect()}
+    assert got == want
+
+
 # --- 10 secrets --------------------------------------------------------------
 
 
