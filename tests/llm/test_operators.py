@@ -224,14 +224,52 @@ def test_network_learns_and_is_calibrated():
     assert one_kind.scores(x).min() == one_kind.scores(x).max() > 0.9
 
 
-def test_word_vectors_are_sums_of_neighbours():
+def test_word_vectors_are_sums_of_neighbours(monkeypatch):
+    """Brute force over whole texts, with texts cut into small chunks of characters and pieces."""
     index = quality_classifier.index_vectors()
-    assert set(np.abs(index).sum(1)) == {quality_classifier.NONZERO}
-    places = quality_classifier.buckets_of(b"red green blue red")
-    sums, counts = np.zeros_like(index), np.zeros(len(index), np.int64)
-    quality_classifier.add_contexts(sums, counts, places, index)
-    r, g, b, _ = places
-    assert (sums[g] == index[r] + index[b] + index[r]).all() and counts[r] == 2
+    assert set(np.abs(index[:-1]).sum(1)) == {quality_classifier.NONZERO} and not index[-1].any()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["red", "GREEN", "Blue!", "7up", "é_è", "..."], k=rng.randint(0, 40))) for _ in range(30)]
+    whole = [quality_classifier.Places().of(t.encode()) for t in texts]
+    assert whole[0].dtype == np.int32 and any((w == 0).any() for w in whole)
+    for chars, pieces in ((1 << 20, 1 << 16), (3, 5)):
+        monkeypatch.setattr(quality_classifier, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(quality_classifier, "CHUNK_PIECES", pieces)
+        monkeypatch.setattr(quality_classifier, "KNOWN_PIECES", pieces)
+        known, seen = quality_classifier.Places(), quality_classifier.Contexts()
+        sums, counts = np.zeros_like(seen.sums), np.zeros_like(seen.counts)
+        for t, places in zip(texts, whole):
+            assert (known.of(t.encode()) == places).all()
+            seen.add(places)
+            for i, p in enumerate(places):
+                counts[p] += 1
+                for j in range(max(0, i - 2), min(len(places), i + 3)):
+                    sums[p] += index[places[j]] if i != j else 0
+        seen.sum_up()
+        assert (seen.sums == sums).all() and (seen.counts == counts).all()
+
+
+def test_pooled_vectors_against_their_definition(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "CHUNK_PIECES", 7)
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(50, quality_classifier.DIMENSIONS)).astype(np.float32)
+    weights = rng.random(50).astype(np.float32) + 0.1
+    for n in (1, 2, 7, 8, 60):
+        places = rng.integers(0, 50, n)
+        v, w = vectors[places].astype(float), weights[places][:, None].astype(float)
+        mean = (v * w).sum(0) / w.sum()
+        spread = np.sqrt((w * (v - mean) ** 2).sum(0) / w.sum())
+        steps = [np.mean(np.square(v[1:] - v[:-1]).sum(1)), np.mean(places[1:] != places[:-1])] if n > 1 else [0, 0]
+        assert np.allclose(quality_classifier.pooled(places, vectors, weights), [*mean, *spread, *steps], atol=1e-4)
+    assert not quality_classifier.pooled(np.zeros(0, np.int32), vectors, weights).any()
+
+
+def test_sample_is_bounded(spark):
+    docs = frame(spark, [(1, "same text")] * 500 + [(1, f"other {i}") for i in range(300)] + [(None, "no key")] * 50 + [(2, None), (3, "three")])
+    labels = frame(spark, [(1, 1.0), (2, 0.0), (None, 1.0), (9, 0.0)], "doc_id long, label double")
+    everything = quality_classifier.sample_of(docs, labels).collect()
+    assert sorted((r.text or "", r.label) for r in everything) == sorted([("same text", 1.0), ("", 0.0)] + [(f"other {i}", 1.0) for i in range(300)])
+    assert quality_classifier.sample_of(docs, labels, 40).count() == 40
 
 
 @needs_data
