@@ -2,11 +2,14 @@
 
 Rolling hashes of several n-gram lengths measure how many characters of a text lie
 inside n-grams and lines that occur more than once. A text is rejected when one of
-these shares exceeds the limit for its length, or when a base rule fails.
+these shares exceeds the limit for its length, or when a base rule fails. A sentence that
+stands twice is a large share of a short text and says little; from ``LONG_WORDS`` words
+on, half of each limit is allowed.
 
 Defined cases: a null or empty text has no words and fails the base rule of a least
-number of words; every row is judged by itself, so ties, repeated rows and other
-columns do not matter; an empty table gives an empty table.
+number of words; a very long text is measured whole, in memory of a small multiple of it;
+every row is judged by itself, so ties, repeated rows and other columns, whatever their
+names, do not matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from keelson.llm.common import per_document, table
 NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 #: Largest share of word characters inside lines equal to an earlier line.
 LINE_LIMIT = 0.30
+#: Texts of so many words may reach this part of each limit.
+LONG_WORDS, LONG_PART = 300, 0.5
 MIN_WORDS = 10
 BASE_WINDOW = 5
 BASE_REPEAT_PERCENT = 20
@@ -70,6 +75,7 @@ def measure(data: bytes, ngram_limits: dict[int, float] = NGRAM_LIMITS, line_lim
     n_chars = int(np.count_nonzero(is_char & ~space))
     words = data.split()
     n = len(words)
+    part = LONG_PART if n >= LONG_WORDS else 1.0
     symbols = sum(map(data.count, (bytes([s]) for s in SYMBOLS)))
 
     seen: set[bytes] = set()
@@ -109,7 +115,7 @@ def measure(data: bytes, ngram_limits: dict[int, float] = NGRAM_LIMITS, line_lim
                 if length in ngram_limits:
                     share = float(lengths[inside].sum()) / n_chars
                     worst = max(worst, share)
-                    rejected |= share > ngram_limits[length]
+                    rejected |= share > part * ngram_limits[length]
     line_share = dup_line_chars / n_chars if n_chars else 0.0
     failed = n < MIN_WORDS or 100 * repeat_words > BASE_REPEAT_PERCENT * n
     return {
@@ -119,7 +125,7 @@ def measure(data: bytes, ngram_limits: dict[int, float] = NGRAM_LIMITS, line_lim
         "n_dup_lines": dup_lines,
         "n_repeat_words": repeat_words,
         "base_failed": failed,
-        "kept": not failed and not rejected and line_share <= line_limit,
+        "kept": not failed and not rejected and line_share <= part * line_limit,
         "dup_line_share": line_share,
         "dup_ngram_share": worst,
     }
@@ -150,6 +156,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
+_PART = f"(case when n_words >= {LONG_WORDS} then {LONG_PART}::double else 1.0::double end)"
 _LIMITS = ", ".join(f"({n}, {share})" for n, share in NGRAM_LIMITS.items())
 
 ORACLE_SQL = rf"""
@@ -175,13 +182,13 @@ inside as (select distinct doc_id, n, unnest(range(i, i + n)) as p from twice),
 shares as (
   select s.doc_id, s.n, count(*) as n_inside, sum(length(b.ws[s.p]))::bigint as chars from inside s join base b using (doc_id) group by 1, 2),
 worst as (
-  select s.doc_id, max(s.chars / b.word_chars::double) as share, bool_or(s.chars / b.word_chars::double > l.share) as rejected,
+  select s.doc_id, max(s.chars / b.word_chars::double) as share, bool_or(s.chars / b.word_chars::double > l.share * {_PART}) as rejected,
     max(case when s.n = {BASE_WINDOW} then n_inside else 0 end) as n_repeat
   from shares s join base b using (doc_id) join limits l using (n) group by 1)
 select doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat, 0) as n_repeat_words,
   n_words < {MIN_WORDS} or 100 * coalesce(n_repeat, 0) > {BASE_REPEAT_PERCENT} * n_words as base_failed,
   not (n_words < {MIN_WORDS} or 100 * coalesce(n_repeat, 0) > {BASE_REPEAT_PERCENT} * n_words)
-    and not coalesce(rejected, false) and dup_line_share <= {LINE_LIMIT} as kept,
+    and not coalesce(rejected, false) and dup_line_share <= {LINE_LIMIT} * {_PART} as kept,
   dup_line_share, coalesce(share, 0.0)::double as dup_ngram_share
 from (
   select b.doc_id, b.n_words, b.word_chars, b.n_symbols, d.n_dup_lines, w.n_repeat, w.rejected, w.share,

@@ -567,6 +567,14 @@ def test_repetition_coverage_rejects_what_the_base_rule_keeps():
     assert quality_rules.measure(unique.encode())["kept"]
 
 
+def test_long_texts_may_repeat_less():
+    for fill, kept in ((90, True), (360, False)):  # about a fifth of the words stands twice
+        n = fill // 9
+        t = " ".join(f"a{i:03}" for i in range(fill)) + (" " + " ".join(f"b{i:03}" for i in range(n))) * 2
+        r = quality_rules.measure(t.encode())
+        assert not r["base_failed"] and 0.15 < r["dup_ngram_share"] < 0.2 and r["kept"] == kept
+
+
 @needs_data
 def test_rules_on_documents(spark, texts):
     for r in catalogue.QUERIES["op7_quality_rules"](spark, str(DATA)).collect():
