@@ -14,6 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True)
 class Param:
     """A placeholder, bound by name when a prepared scan runs."""
@@ -28,7 +33,7 @@ class Compare:
     value: Any
 
     def to_column(self) -> Column:
-        c, v = F.col(self.column), F.lit(self.value)
+        c, v = column(self.column), F.lit(self.value)
         return {"=": c == v, "<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[self.op]
 
     def bind(self, values: dict[str, Any]) -> Compare:
@@ -44,8 +49,9 @@ class In:
         known = [v for v in self.values if v is not None]
         if known and all(type(v) is int for v in known):
             # one call to the JVM instead of one for each value
-            return F.expr(f"`{self.column}` IN ({', '.join(map(str, known))})")
-        return F.col(self.column).isin(known) if known else F.lit(False)
+            name = self.column.replace("`", "``")
+            return F.expr(f"`{name}` IN ({', '.join(map(str, known))})")
+        return column(self.column).isin(known) if known else F.lit(False)
 
     def bind(self, values: dict[str, Any]) -> In:
         return In(self.column, tuple(values[v.name] if isinstance(v, Param) else v for v in self.values))
@@ -59,7 +65,7 @@ class Null:
     wanted: bool
 
     def to_column(self) -> Column:
-        return F.col(self.column).isNull() if self.wanted else F.col(self.column).isNotNull()
+        return column(self.column).isNull() if self.wanted else column(self.column).isNotNull()
 
     def bind(self, values: dict[str, Any]) -> Null:
         return self

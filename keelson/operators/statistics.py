@@ -33,12 +33,12 @@ def leaf_statistics(p: Projection, leaf_rows: int | None = None, across_files: b
     values of every leaf; estimates, which a build keeps, shuffle a few sketches a leaf.
     """
     size = leaf_rows or p.options.leaf_rows
-    key = F.col(p.keys[0])
+    key = P.column(p.keys[0])
     rows = p.data().select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    combo = F.xxhash64(*[c for c, t in p.types.items() if not t.startswith("map")])
+    combo = F.xxhash64(*[P.column(c) for c, t in p.types.items() if not t.startswith("map")])
     if across_files:
         # the rows before each file, as the manifest knows them; one row for each file
-        ordered = sorted(p.files, key=lambda f: f.name)
+        ordered = sorted(p.files, key=lambda f: f.ordinal)
         before = list(accumulate((f.rows for f in ordered), initial=0))[:-1]
         offsets = p.spark.createDataFrame(list(zip((f.name for f in ordered), before)), "f string, before long")
         offsets = F.broadcast(offsets) if len(ordered) <= BROADCAST_FILES else offsets
@@ -63,7 +63,8 @@ def leaf_statistics(p: Projection, leaf_rows: int | None = None, across_files: b
     if across_files:
         return leaves
     per_file = leaves.groupBy("file").agg(F.count(F.lit(1)).alias("k"))
-    first = per_file.select(F.col("file").alias("f"), (F.sum("k").over(Window.orderBy("file")) - F.col("k")).alias("first"))
+    place = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file")  # one row for each file
+    first = per_file.select(F.col("file").alias("f"), (F.sum("k").over(place) - F.col("k")).alias("first"))
     numbered = leaves.join(first, F.col("file") == F.col("f")).withColumn("leaf", F.col("first") + F.col("part"))
     return numbered.select("leaf", "file", "mn", "mx", "n", "d", "runs", "combos", "bloom")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keelson.functions import sketches
 from keelson.functions.types import uuid_text
 from keelson.operators.predicates import Param, between, eq, ge, gt, is_not_null, is_null, isin, le, lt
-from keelson.operators.scan import PreparedScan, lookup_join, scan
+from keelson.operators.scan import Cursor, PreparedScan, lookup_join, scan
 from keelson.operators.statistics import BROADCAST_FILES, inspect, kept_leaves, leaf_statistics, levels, upper_level
 from keelson.plans.chooser import choose, query
 from keelson.plans.options import ProjectionOptions
@@ -77,6 +77,8 @@ PROJECTIONS: dict[str, tuple] = {
         {"declared": {"m": "money"}},
     ),
     "customer_name": (_table("customer"), ["c_name"], ["c_custkey"], None, {}),
+    "customer_collated": (_table("customer"), ["c_name"], [], None, {"collation": "UNICODE"}),
+    "orders_none": (lambda s, d: _table("orders")(s, d).where("o_orderkey < 0"), ["o_orderkey"], ["o_custkey"], None, {}),
     "part_size": (_table("part"), ["p_size"], ["p_partkey"], None, {}),
     "nation": (_table("nation"), ["n_nationkey"], ["n_name", "n_regionkey"], None, {}),
     "events_ts": (_table("events"), ["ts"], ["event_id", "user_id", "value"], None, {}),
@@ -149,7 +151,7 @@ def _ts(column: str, low: str, high: str):
 
 def _line_runs(c: Context) -> DataFrame:
     p = c["lineitem_wide"]
-    files = sorted(p.files, key=lambda f: f.name)
+    files = sorted(p.files, key=lambda f: f.ordinal)
     # a run that goes on in the next file was counted in both
     twice = sum(a.high == b.low for a, b in zip(files, files[1:]))
     leaves = leaf_statistics(p, 1 << 30)
@@ -455,10 +457,37 @@ def _aggregates() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
             _chosen,
             "select * from (values ('by_supplier', 'lineitem_wide'), ('by_order', 'lineitem_order'), ('uncovered', '')) t(query, projection)",
         ),
+        "collated_order": (
+            lambda c: c.scan("customer_collated", order="asc", limit=50).select(F.col("c_name").cast("string").alias("c_name")),
+            "select c_name from customer order by lower(c_name), c_name limit 50",
+        ),
+        "cursor_pages": (_pages, "select o_orderkey, o_custkey from (select o_orderkey, o_custkey, row_number() over (order by o_orderkey) r from orders) where r between 8 and 17"),
+        "empty_projection": (lambda c: c.scan("orders_none"), "select o_orderkey, o_custkey from orders where o_orderkey < 0"),
+        "view_sql": (_by_view, "select o_orderstatus, count(*) n from orders where o_orderkey between 500 and 5000 group by 1"),
         "inspect_rows": (lambda c: inspect(c["lineitem_wide"]).select("rows"), "select count(*) as rows from lineitem"),
     }
 
 
+def _pages(c: Context) -> DataFrame:
+    """Ten rows of a cursor that went forward, back and forward again."""
+    cursor = Cursor(c["orders_key"], columns=["o_orderkey", "o_custkey"])
+    cursor.forward(12)
+    cursor.backward(4)
+    cursor.move(-1)
+    return c.spark.createDataFrame(cursor.forward(10), "o_orderkey long, o_custkey long")
+
+
+def _by_view(c: Context) -> DataFrame:
+    c["orders_key"].view("keelson_orders_key")
+    return c.spark.sql("select o_orderstatus, count(*) n from keelson_orders_key where o_orderkey between 500 and 5000 group by 1")
+
+
+def _share_from(p: Projection, part: int) -> int:
+    """The key from which on about one of ``part`` keys lies, by the highest key of the manifest."""
+    high = max(f.high for f in p.files)
+    return high - high // part
+
+
 def _workloads() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
     """The shapes of the benchmark, on the tables that play the same roles."""
     wide, key = "lineitem_wide", "orders_key"
@@ -488,8 +517,14 @@ def _workloads() -> dict[str, tuple[Callable[[Context], DataFrame], str]]:
         "status_in": (lambda c: c.scan("orders_status", isin("o_orderstatus", "P", "O")).agg(_n()), "select count(*) n from orders where o_orderstatus in ('P', 'O')"),
         "point_lookup": (lambda c: c.scan("nation", eq("n_nationkey", 7)), "select n_nationkey, n_name, n_regionkey from nation where n_nationkey = 7"),
         "half_range": (lambda c: c.scan("nation", ge("n_nationkey", 12)).agg(_n()), "select count(*) n from nation where n_nationkey >= 12"),
-        "sel_0_1_percent": (lambda c: c.scan(key, ge("o_orderkey", 14985)).agg(_n()), "select count(*) n from orders where o_orderkey >= 14985"),
-        "sel_10_percent": (lambda c: c.scan(key, ge("o_orderkey", 13500)).agg(_n()), "select count(*) n from orders where o_orderkey >= 13500"),
+        "sel_0_1_percent": (
+            lambda c: c.scan(key, ge("o_orderkey", _share_from(c[key], 1000))).agg(_n()),
+            "select count(*) n from orders where o_orderkey >= (select max(o_orderkey) - max(o_orderkey) // 1000 from orders)",
+        ),
+        "sel_10_percent": (
+            lambda c: c.scan(key, ge("o_orderkey", _share_from(c[key], 10))).agg(_n()),
+            "select count(*) n from orders where o_orderkey >= (select max(o_orderkey) - max(o_orderkey) // 10 from orders)",
+        ),
         "include_0": (lambda c: c.scan("lineitem_order_one", ge("l_orderkey", 5000)).agg(_n()), "select count(*) n from lineitem where l_orderkey >= 5000"),
         "include_4": (
             lambda c: c.scan(wide, ge("l_suppkey", 50)).agg(_n(), F.sum("l_orderkey").alias("a"), F.sum("l_partkey").alias("b"), F.sum("l_linenumber").alias("d")),

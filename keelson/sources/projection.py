@@ -9,11 +9,14 @@ writes a new folder, and ``is_stale`` compares the recorded source with today's.
 from __future__ import annotations
 
 import json
+import logging
+import re
 import warnings
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from decimal import Decimal
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +30,9 @@ MAX_KEYS = 2
 MAX_INCLUDES = 16
 MAX_TEXT_BYTES = 32
 WIDE_ROW_BYTES = 250
-MANIFEST_VERSION = 1
+MANIFEST_VERSION = 2
+
+log = logging.getLogger("keelson")
 
 
 class ProjectionError(ValueError):
@@ -43,6 +48,19 @@ class FileRange:
     low: Any = None
     high: Any = None
 
+    @property
+    def ordinal(self) -> tuple[int, int, str]:
+        """The place in key order: number of the task, then of its file; names alone stop sorting at 100,000 files."""
+        return ordinal_of(self.name)
+
+
+_NUMBERS = re.compile(r"part-(\d+).*?(?:-c(\d+)\..*)?$")
+
+
+def ordinal_of(name: str) -> tuple[int, int, str]:
+    found = _NUMBERS.match(name)
+    return (int(found[1]), int(found[2] or 0), name) if found else (-1, 0, name)
+
 
 @dataclass
 class Projection:
@@ -79,8 +97,18 @@ class Projection:
         return set(columns) <= set(self.columns)
 
     def is_stale(self, df: DataFrame) -> bool:
-        """Whether the source has other files, or other row counts, than when this was built."""
-        return _fingerprint(df, df.count()) != self.source
+        """Whether the source has other files, or files of other sizes or times, than when this was built.
+
+        A source without files is told by its number of rows alone.
+        """
+        now = _fingerprint(df)
+        if now["files"] or self.source["files"]:
+            return now != {k: self.source[k] for k in now}
+        return df.count() != self.source["rows"]
+
+    def view(self, name: str) -> None:
+        """A temporary view of the projection, for SQL over its columns."""
+        self.data().createOrReplaceTempView(name)
 
     def key_bytes(self) -> int:
         return _width(self.types[self.keys[0]])
@@ -97,8 +125,15 @@ def _width(kind: str) -> int:
     return fixed.get(kind, 16 if kind == "binary" else MAX_TEXT_BYTES if kind.startswith("string") else 8)
 
 
-def _fingerprint(df: DataFrame, rows: int) -> dict:
-    return {"files": sorted(df.inputFiles()), "rows": rows}
+def _fingerprint(df: DataFrame) -> dict:
+    """Number of the files behind ``df``, and a sum of hashes of their names, sizes and times."""
+    files = [unquote(f) for f in df.inputFiles()]
+    if not files:
+        return {"files": 0, "hash": "0"}
+    listed = df.sparkSession.read.format("binaryFile").load(files)  # lists them; contents are not read
+    found = listed.select(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)").alias("h"))
+    n, total = found.agg(F.count("*"), F.sum("h")).first()
+    return {"files": n, "hash": str(total)}
 
 
 def validate_schema(
@@ -200,9 +235,11 @@ def build_projection(
     sizes = storage.file_bytes(spark, f"{path}/data")
     built = Projection(spark, path, list(keys), include, where, options, 0, sum(sizes.values()), dict(rows.dtypes), {})
     built.rows = built.data().count()
-    built.source = _fingerprint(source, source.count() if where else built.rows)
+    built.source = _fingerprint(source)
+    built.source["rows"] = built.rows if where is None else source.count() if not built.source["files"] else None
     _describe(built, collation)
     _save(built)
+    log.debug("built %s: %d rows, %d bytes, %d files", path, built.rows, built.bytes, len(built.files))
     return built
 
 
@@ -216,7 +253,7 @@ def _describe(p: Projection, collation: str | None) -> None:
     ranges = p.leaves().groupBy("file").agg(F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
     ordered = collation is None and p.types[p.keys[0]] not in ("binary",) and not p.types[p.keys[0]].startswith("struct")
     # one row for each file, as in Spark's own file index
-    for r in ranges.orderBy("file").collect():
+    for r in sorted(ranges.collect(), key=lambda r: ordinal_of(r.file)):
         p.files.append(FileRange(r.file, r.n, r.mn, r.mx) if ordered else FileRange(r.file, r.n))
 
 

@@ -12,7 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset.
 
     Then it is a temporary folder if all of Spark runs in this process, and otherwise one
-    beside the warehouse, which driver and executors share.
+    beside a warehouse that is no local path. A local path on a cluster is refused: each
+    machine has its own, and what an executor wrote there is lost with it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -20,7 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
         found = held.get() if held.isDefined() else None
     if not found:
         alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
-        found = tempfile.mkdtemp(prefix="keelson-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_keelson"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not alone and re.match(r"(file:|/|[^:]*$)", warehouse):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        found = tempfile.mkdtemp(prefix="keelson-") if alone else f"{warehouse}/_keelson"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

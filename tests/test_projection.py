@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import warnings
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions.types import TypeError_
-from keelson.operators.predicates import between, eq, ge
+from keelson.operators.predicates import between, eq, ge, is_not_null, lt
 from keelson.operators.scan import scan
+from keelson.plans.chooser import query
 from keelson.plans.options import OptionError, ProjectionOptions
+from keelson.sources import storage
 from keelson.sources.projection import ProjectionError, build_projection, open_projection, validate_schema
 
 
@@ -118,6 +121,58 @@ def test_partial_and_stale(spark, path, tmp_path):
     assert p.is_stale(spark.read.parquet(source))
 
 
+def test_stale_projection_is_passed_over(spark, path, tmp_path):
+    source = str(tmp_path / "source")
+    spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "a int, b int").coalesce(1).write.parquet(source)
+    p = build_projection(spark.read.parquet(source), path, ["a"], ["b"])
+    assert [r.b for r in query(spark.read.parquet(source), [p], ["b"], eq("a", 1)).collect()] == [1]
+    file = next(Path(source).glob("*.parquet"))
+    other = str(tmp_path / "other")
+    spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "a int, b int").coalesce(1).write.parquet(other)
+    file.write_bytes(next(Path(other).glob("*.parquet")).read_bytes())  # in place: same name, same rows
+    for crc in Path(source).glob(".*.crc"):
+        crc.unlink()
+    spark.catalog.refreshByPath(source)
+    now = spark.read.parquet(source)
+    assert p.is_stale(now) and open_projection(spark, path).is_stale(now)
+    assert [r.b for r in query(now, [p], ["b"], eq("a", 1)).collect()] == [10]
+
+
+def test_sources_without_files_are_told_by_rows(spark, path):
+    p = build_projection(numbers(spark, 30), path, ["a"])
+    assert not p.is_stale(numbers(spark, 30)) and p.is_stale(numbers(spark, 31))
+
+
+def test_view_and_dotted_names(spark, path):
+    df = spark.range(20).select(F.col("id").alias("a.b"), (F.col("id") * 2).alias("c d"))
+    p = build_projection(df, path, ["a.b"], ["c d"])
+    got = scan(p, ge("a.b", 5), lt("a.b", 8), order="desc", columns=["c d"]).collect()
+    assert [r[0] for r in got] == [14, 12, 10] and scan(p, is_not_null("a.b")).count() == 20
+    p.view("dotted")
+    assert spark.sql("select sum(`c d`) from dotted where `a.b` in (1, 2)").first()[0] == 6
+
+
+def test_shared_folder_on_a_cluster_is_never_local(monkeypatch):
+    class Held:
+        isDefined = staticmethod(lambda: False)
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda name, default=None: "file:/user/warehouse" if "warehouse" in name else None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            setCheckpointDir = staticmethod(lambda path: None)
+
+            class _jsc:
+                sc = staticmethod(lambda: type("Sc", (), {"getCheckpointDir": staticmethod(lambda: Held)}))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Fake)
+    monkeypatch.setattr(Fake.conf, "get", staticmethod(lambda name, default=None: "hdfs://nn/warehouse" if "warehouse" in name else None))
+    assert storage.shared_folder(Fake) == "hdfs://nn/warehouse/_keelson"
+
+
 def test_decimals_are_kept_exactly(spark, path):
     rows = [(1, Decimal("0.00")), (2, Decimal("-99999.99")), (3, Decimal("99999.99"))]
     p = build_projection(spark.createDataFrame(rows, "id int, v decimal(7,2)"), path, ["id"], ["v"])

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keelson.functions.types import uuid_text
-from keelson.operators.predicates import Compare, In, Param, between, bounds, eq, ge, gt, is_not_null, is_null, isin, le, lt
-from keelson.operators.scan import Cursor, NotCovered, PreparedScan, files_for, lookup_join, scan
+from keelson.operators.predicates import Compare, In, Param, between, bounds, eq, flatten, ge, gt, is_not_null, is_null, isin, le, lt
+from keelson.operators.scan import Cursor, Edges, NotCovered, PreparedScan, _ends, files_for, lookup_join, scan
 from keelson.operators.statistics import kept_leaves, profile
 from keelson.plans.options import ProjectionOptions
-from keelson.sources.projection import build_projection
+from keelson.sources.projection import FileRange, build_projection
 
 SMALL = ProjectionOptions(leaf_rows=64)
 
@@ -210,3 +212,33 @@ def test_bounds_of_a_conjunction():
     assert (b.low, b.low_open, b.high, b.high_open, b.points) == (5, True, 9, True, [6, 12])
     assert b.misses(7, 8) and not b.misses(6, 8) and b.misses(0, 5)
     assert bounds([eq("a", 1), eq("a", 2)], "a").empty
+
+
+def test_files_beyond_a_hundred_thousand():
+    """Ranges of more files than five digits number, in both directions, against a full look at each."""
+    n = 120_000
+    files = [FileRange(f"part-{i:05}-x-c000.snappy.parquet", 10, 2 * i, 2 * i + (2 if i % 7 == 0 else 1)) for i in range(n)]
+    rng = random.Random(3)
+    mixed = list(files)
+    rng.shuffle(mixed)
+    edges = Edges(mixed)
+    assert edges.sorted and edges.files == files
+    asked = [[eq("a", 2 * n - 1)], [ge("a", 2 * n - 9)], [gt("a", 14), lt("a", 30)], [isin("a", 1, 14, 199_999, 10**9)], [between("a", 9, 5)], [ge("a", 199_990), le("a", 200_010)]]
+    for preds in asked:
+        limits = bounds(flatten(preds), "a")
+        assert edges.matching(limits) == [f for f in files if not limits.misses(f.low, f.high)]
+    assert [f.name for f in _ends(mixed, 15, True)][:2] == [files[-1].name, files[-2].name]
+    assert _ends(mixed, 5, False)[0] == files[0] and len(_ends(mixed, 5, True)) <= 3
+    inside = bounds(flatten([ge("a", 200_001)]), "a")
+    assert [f.low for f in _ends(edges.matching(inside), 15, False, inside)][:3] == [200_000, 200_002, 200_004]
+
+
+def test_ordered_limit_inside_a_range_reads_few_files(spark, tmp_path):
+    df = spark.range(4000).select(F.col("id").cast("int").alias("a"), (F.col("id") * 3).alias("b"))
+    p = build_projection(df, str(tmp_path / "p"), ["a"], ["b"], partitions=40)
+    for order, first in (("asc", 1000), ("desc", 2999)):
+        found = scan(p, between("a", 1000, 2999), order=order, limit=30)
+        assert len(found.inputFiles()) < 5
+        rows = [r.a for r in found.collect()]
+        assert rows == list(range(1000, 1030)) if order == "asc" else rows == list(range(2999, 2969, -1))
+        assert rows[0] == first
