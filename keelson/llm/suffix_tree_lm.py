@@ -9,8 +9,8 @@ every text has a probability. A text is scored symbol by symbol at the longest s
 of its past that is a state.
 
 Every state that passes the tests is kept, however many there are; the tree is a table
-that joins build depth by depth. Its most frequent states, ``HEAD_ROWS`` rows at most,
-are sent to all tasks with a Bloom filter of the others. As a suffix of a state is at
+that joins build depth by depth. Its most frequent states, ``HEAD_ROWS`` rows at most and none
+rarer than ``HEAD_SHARE``, are sent to all tasks with a Bloom filter of the others. As a suffix of a state is at
 least as frequent as the state, a symbol is decided by the head alone unless the filter
 finds a longer state in its context; such symbols are counted by document and scored by
 a join of their distinct (context, symbol) codes with the table. So where the line is
@@ -48,8 +48,13 @@ MIN_COUNT = 4
 MIN_GAIN = 2.0
 HEAD = 150_000
 HEAD_BYTES = 64
-#: Rows of the tree, states and their symbols, that are sent to all tasks.
+#: Rows of the tree, states and their symbols, that are sent to all tasks at most, and the
+#: least share of all symbols that follow a state which is sent: what is left to joins is
+#: then about the same share of the text at any size.
 HEAD_ROWS = 1_000_000
+HEAD_SHARE = 5e-7
+#: Values of codes that are sent to the tasks that join them; beyond it both sides are shuffled.
+VALUE_ROWS = 100_000
 #: Bits of the filter of all other states, and the bits that each of them sets.
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 2
@@ -173,8 +178,8 @@ def _key(ctx: Column, sym: Column, state: int, depth: Column | int) -> Column:
     return code.bitwiseOR(depth.cast("long")).bitwiseOR(F.lit(state).cast("long"))
 
 
-def grow(grams: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The tree (key, value, total) of the retained contexts, and the values of the root by symbol.
+def grow(grams: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
+    """The tree (key, value, total) of the retained contexts, the values of the root by symbol, and the number of symbols.
 
     A row of a state has the logarithm of its back-off weight, a row of one of its
     symbols that of the probability; ``total`` is how often the context occurs.
@@ -213,7 +218,7 @@ def grow(grams: DataFrame) -> tuple[DataFrame, np.ndarray]:
     tree = materialize(tree)
     for level in levels[:DEPTH]:
         discard(level)
-    return tree, np.rint(np.log10(smoothed) * SCALE).astype(np.int64)
+    return tree, np.rint(np.log10(smoothed) * SCALE).astype(np.int64), float(root.sum())
 
 
 def _places(contexts: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
@@ -350,8 +355,8 @@ def score(docs: DataFrame, train: DataFrame, columns: list[str], key: str = "doc
     found = counts(train, text)
     vocabulary = found.where(F.col("code").isNull()).select("word", "n")
     total, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree, root = grow(found.where(F.col("code").isNotNull()).select("code", "n"))
-    line = _line(tree, "total", HEAD_ROWS)
+    tree, root, symbols = grow(found.where(F.col("code").isNotNull()).select("code", "n"))
+    line = max(_line(tree, "total", HEAD_ROWS), int(np.floor(np.log2(max(1.0, HEAD_SHARE * symbols)) * STEPS)))
     top = tree.where(_step(F.col("total")) >= line).select("key", "value").toArrow()  # at most HEAD_ROWS rows
     others = _filter(tree.where(_step(F.col("total")) < line), FILTER_BITS)
     head_tree = SuffixTree(top.column("key").to_numpy(), top.column("value").to_numpy(), root, others)
@@ -414,7 +419,7 @@ def score(docs: DataFrame, train: DataFrame, columns: list[str], key: str = "doc
     codes = rows.select("uid", F.explode("codes").alias("t")).select("uid", "t.code", "t.tf")
     if open_states:
         asked = codes.groupBy("code").agg(F.count("*").alias("asked")).select("code")
-        values = broadcast_if_small(materialize(_values(asked, tree, root)))
+        values = broadcast_if_small(materialize(_values(asked, tree, root)), VALUE_ROWS)
         model = codes.join(values, F.col("code") == F.col("c"))
         sums = sums.unionByName(model.select("uid", none.alias("known"), none.alias("base"), (F.col("tf") * F.col("v")).alias("model")))
     sums = sums.groupBy(F.col("uid").alias("u")).agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
