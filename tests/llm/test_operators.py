@@ -849,3 +849,18 @@ def test_pipeline_against_brute_force(spark, texts):
     by = Counter(r.shard for r in rows)
     assert max(by.values()) - min(by[s] for s in range(40)) <= 1
     assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(by[s])) for s in range(3))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sketches_keep_pairs_at_the_limit(seed):
+    rng = random.Random(seed)
+    drawn = [rng.getrandbits(64) for _ in range(1000)]
+    a, b, far = set(drawn[:900]), set(drawn[100:]), set(drawn[:450] + drawn[900:])
+    assert len(a & b) / len(a | b) == 0.8
+
+    def apart(x, y):
+        pairs = zip(near_copies.sketch(x).tolist(), near_copies.sketch(y).tolist())
+        return sum(((p ^ q) % 2**64).bit_count() for p, q in pairs)
+
+    assert apart(a, set(a)) == 0
+    assert apart(a, b) <= near_copies.APART < apart(a, far)
