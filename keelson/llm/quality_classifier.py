@@ -70,10 +70,12 @@ class Places(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) >= KNOWN_PIECES:
             self.clear()
-        capitals = len(piece) > 1 and piece.isalpha() and piece.isupper()
-        place = zlib.crc32((piece.lower() if piece.isalpha() else piece).encode()) % (BUCKETS - 1) + 1
-        self[piece] = -place if capitals else place
-        return self[piece]
+        letters = piece.isalpha()
+        place = zlib.crc32((piece.lower() if letters else piece).encode()) % (BUCKETS - 1) + 1
+        if letters and len(piece) > 1 and piece.isupper():
+            place = -place
+        self[piece] = place
+        return place
 
     def of(self, text: bytes) -> np.ndarray:
         return np.concatenate([*self._chunks(text.decode("utf-8", "replace")), np.zeros(0, np.int32)])
@@ -84,7 +86,7 @@ class Places(dict):
             # no piece goes across white space
             cut = _SPACE.search(text, start + CHUNK_CHARS)
             end = cut.start() if cut else len(text)
-            found = np.array([self[p] for p in _PIECE.findall(text, start, end)], np.int32)
+            found = np.array(list(map(self.__getitem__, _PIECE.findall(text, start, end))), np.int32)
             capitals = np.flatnonzero(found < 0)
             yield np.insert(np.abs(found), capitals, 0) if capitals.size else found
             start = end
@@ -103,7 +105,14 @@ class Contexts:
     """Sums, by place, of the index vectors within ``REACH`` of each piece, over many texts."""
 
     def __init__(self):
-        self.index = index_vectors()
+        index = index_vectors()
+        # The entries of +1 and -1 of each place, one row for each of them; the vector between texts has none.
+        at, entry = np.nonzero(index)
+        order = np.argsort(at, kind="stable")
+        self.entries = np.zeros((NONZERO, BUCKETS + 1), np.int64)
+        self.signs = np.zeros((NONZERO, BUCKETS + 1), np.int64)
+        self.entries[:, :BUCKETS] = entry[order].reshape(BUCKETS, NONZERO).T
+        self.signs[:, :BUCKETS] = index[at, entry][order].reshape(BUCKETS, NONZERO).T
         self.sums = np.zeros((BUCKETS + 1, DIMENSIONS), np.int64)
         self.counts = np.zeros(BUCKETS + 1, np.int64)
         self.held: list[np.ndarray] = []
@@ -123,20 +132,17 @@ class Contexts:
     def sum_up(self) -> None:
         if not self.held:
             return
-        # 2 x REACH entries of +1, 0 or -1 fit into the bytes of the index vectors
         gap = (np.full(REACH, BUCKETS, np.int32), np.zeros(REACH, bool))
-        parts = [x for h in self.held for x in (h, gap)]
+        parts = [gap, *[x for h in self.held for x in (h, gap)]]
         places, own = np.concatenate([p for p, _ in parts]), np.concatenate([o for _, o in parts])
-        vectors = self.index[places]
-        around = np.zeros_like(vectors)
-        for step in range(1, REACH + 1):
-            around[step:] += vectors[:-step]
-            around[:-step] += vectors[step:]
-        order = np.argsort(places, kind="stable")
-        order = order[own[order]]
-        found, first, n = np.unique(places[order], return_index=True, return_counts=True)
-        self.sums[found] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
-        self.counts[found] += n
+        at = np.flatnonzero(own)
+        sums, rows = self.sums.reshape(-1), places[at].astype(np.int64) * DIMENSIONS
+        for step in range(-REACH, REACH + 1):
+            if step:
+                near = places[at + step]
+                for entry, sign in zip(self.entries, self.signs):
+                    np.add.at(sums, rows + entry[near], sign[near])
+        self.counts += np.bincount(places[at], minlength=BUCKETS + 1)
         self.held, self.size = [], 0
 
 
