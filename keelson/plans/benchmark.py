@@ -56,6 +56,10 @@ HEADLINE = [
     "nested_loop_join",
 ]
 
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+#: Queries whose SQL is not Spark's.
+PROJECTION_ONLY = {"uuid_range"}
+
 
 @dataclass
 class Timing:
@@ -97,6 +101,33 @@ def run(spark: SparkSession, sf_dir: str, names: list[str] = HEADLINE, repeat: i
     return {n: timed(lambda n=n: catalogue.QUERIES[n](spark, sf_dir), repeat) for n in names}
 
 
+def table_form(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A registered query over the tables themselves, without any projection: its SQL on views of them."""
+    sql = catalogue.ORACLE_SQL[name].replace(" // ", " div ")
+    for table in TABLES:
+        if table in sql:
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(sql)
+
+
+def files_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the scans of ``df`` are made of."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def against_tables(spark: SparkSession, sf_dir: str, timings: dict[str, Timing], repeat: int = 3) -> dict[str, dict]:
+    """Median seconds over the tables for each timed query that has such a form, and what that says."""
+    out = {}
+    for name, timing in timings.items():
+        if name in PROJECTION_ONLY:
+            continue
+        base = timed(lambda name=name: table_form(spark, sf_dir, name), repeat).percentile(0.5)
+        sizes = [files_bytes(q) for q in (table_form(spark, sf_dir, name), catalogue.QUERIES[name](spark, sf_dir))]
+        out[name] = {"table_seconds": base, "advice": advice(base, timing.percentile(0.5), sizes[0], max(1, sizes[1]))}
+    return out
+
+
 def regressions(before: dict[str, float], now: dict[str, float], limit: float = REGRESSION) -> dict[str, float]:
     """Queries that got slower by more than ``limit``, and by which share."""
     shares = {n: now[n] / before[n] - 1 for n in now if before.get(n)}

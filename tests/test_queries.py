@@ -11,7 +11,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from keelson.plans import catalogue
+from keelson.plans import benchmark, catalogue
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
@@ -43,6 +43,17 @@ def test_same_rows(spark, tables, name):
     assert mine == theirs
 
 
+def test_tables_answer_as_projections(spark):
+    """The benchmark times the same rows over tables and over projections."""
+    for name in sorted(set(benchmark.HEADLINE) - benchmark.PROJECTION_ONLY):
+        forms = benchmark.table_form(spark, str(DATA), name), catalogue.QUERIES[name](spark, str(DATA))
+        table, projection = (sorted(f.select(*sorted(f.columns)).collect(), key=repr) for f in forms)
+        assert table == projection, name
+        assert all(benchmark.files_bytes(f) > 0 for f in forms)
+    found = benchmark.against_tables(spark, str(DATA), {"hot_metric": benchmark.Timing([1e9]), "uuid_range": benchmark.Timing([1.0])}, 1)
+    assert list(found) == ["hot_metric"] and "slower" in found["hot_metric"]["advice"]
+
+
 def test_entry(spark):
     import __spark_entry__
 
