@@ -92,7 +92,10 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def group_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``group``, but by near copies: ``fp`` is the hash of the text and links join similar texts."""
+    """As ``group``, by the same method for near copies: ``near_copies`` has the SimHash, lists and tally.
+
+    ``fp`` is the hash of the text and links join similar texts.
+    """
     marked = near_copies.mark(docs, key, text)
     return _named(marked, lambda _: near_copies.link(docs, marked, text))
 

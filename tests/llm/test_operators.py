@@ -12,6 +12,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -864,3 +865,65 @@ def test_sketches_keep_pairs_at_the_limit(seed):
 
     assert apart(a, set(a)) == 0
     assert apart(a, b) <= near_copies.APART < apart(a, far)
+
+
+def at_the_limit(seed):
+    """Two sets of shingles at a similarity of 0.8."""
+    rng = random.Random(seed)
+    drawn = [rng.getrandbits(64) for _ in range(500)]
+    return set(drawn[:450]), set(drawn[50:])
+
+
+def test_near_copies_are_found_by_bytes_of_a_simhash():
+    """Bits by majority; pairs at the limit share a list of three positions and enough bytes, others do not."""
+    same = lambda a, b: (a.view(np.uint8) == b.view(np.uint8))
+    lists = lambda f: near_copies.entries(np.zeros(1, np.int64), f[None])[0]
+    one = [near_copies.fingerprint({h}) for h in range(1, 301)]
+    bits = np.unpackbits(np.array([f.view(np.uint8) for f in one]), axis=1).sum(axis=0)
+    assert (np.unpackbits(near_copies.fingerprint(set(range(1, 301))).view(np.uint8)) == (bits > 150)).all()
+    found = 0
+    for seed in range(200):
+        a, b = (near_copies.fingerprint(s) for s in at_the_limit(seed))
+        far = near_copies.fingerprint(at_the_limit(seed + 1000)[0])
+        groups = same(a, b)[near_copies.GROUPS].all(axis=1)
+        assert ((lists(a) == lists(b)) == groups).all()
+        found += groups.any()
+        assert same(a, b).sum() >= near_copies.SHARED > same(a, far).sum()
+    assert found >= 196  # 0.996 expected
+
+
+def test_tally_counts_equal_bytes(spark):
+    rng = np.random.default_rng(3)
+    first = rng.integers(0, 256, near_copies.WIDTH, np.uint8)
+    nodes, shared = [first], {}
+    for i, n in enumerate((0, 1, near_copies.SHARED - 1, near_copies.SHARED, near_copies.SHARED + 1, near_copies.WIDTH), 1):
+        other = first ^ rng.choice([1, 2, 16, 128, 255], near_copies.WIDTH).astype(np.uint8)
+        kept = rng.permutation(near_copies.WIDTH)[:n]
+        other[kept] = first[kept]
+        nodes.append(other)
+        shared[i] = n
+    rows = [(i, 9, *f.view(np.int64).tolist()) for i, f in enumerate(nodes)]
+    nodes = frame(spark, rows, "fp long, size int, " + ", ".join(f"{b} long" for b in near_copies._BYTES))
+    pairs = frame(spark, [(i, 0) for i in shared], "a long, b long")
+    got = {r.a for r in near_copies.tally(pairs, nodes).collect()}
+    assert got == {i for i, n in shared.items() if n >= near_copies.SHARED}
+
+
+def test_links_of_near_copies_pass_the_tally(spark, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join(words[:-3])), (3, " ".join(words).upper())])
+    marked = near_copies.mark(docs, "doc_id", "text")
+    assert len(near_copies.link(docs, marked, "text").collect()) == 3
+    monkeypatch.setattr(near_copies, "SHARED", near_copies.WIDTH + 1)
+    assert not near_copies.link(docs, marked, "text").collect()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_shared_lists_across_batches(seed):
+    rng = np.random.default_rng(seed)
+    v = np.sort((rng.integers(-40, 40, 60) << 31) | rng.integers(0, 3, 60))
+    cuts = sorted(rng.integers(0, 61, 20).tolist())
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], names=["v"]) for x in np.split(v, cuts)]
+    got = [x for b in near_copies._met(iter(batches)) for x in b.column(0).to_pylist()]
+    of = Counter((v >> 31).tolist())
+    assert got == sorted({x for x in v.tolist() if of[x >> 31] > 1})
