@@ -17,17 +17,16 @@ similarity of ``LIKE`` or more. The method is that of op9 with parameters for th
 
 Equal texts collapse first: a text is known by its 64-bit hash. Texts that are in a list of
 more than ``LONG_LIST`` are called busy. All pairs meet in a list but those of two busy
-texts. Each busy text is first held against two others: of the members that share most with
-others (of copies that were edited apart from one original, the original or the nearest to
-it), one for each long list, that which it shares most lists with; and likewise of those that
-come first by a hash. Busy texts that are connected then need not be compared; all pairs of
-them in a list, of any length, that are not yet, which are the few outside of its largest
-component with each other and with the rest, meet too if their sketches of ``SKETCH``
-one-bit minima differ in at most ``APART``. Two texts at 0.8 differ in a tenth of the bits,
-and in more than ``APART`` of them with a probability of 0.00002; so a link between two
-components is as good as never left out, and pairs that only share a list mostly end there.
-Comparing sketches still costs the product of the two sides of a list, but no row, text or
-shuffle for each pair.
+texts. Each busy text is first held against two others of its longest list: the member that
+shares most with others (of copies that were edited apart from one original, the original or
+the nearest to it), and that which comes first by a hash. Busy texts that are connected then
+need not be compared; all pairs of them in a list, of any length, that are not yet, which
+are the few outside of its largest component with each other and with the rest, meet too if
+their sketches of ``SKETCH`` one-bit minima differ in at most ``APART``. Two texts at 0.8
+differ in a tenth of the bits, and in more than ``APART`` of them with a probability of
+0.00002; so a link between two components is as good as never left out, and pairs that only
+share a list mostly end there. Comparing sketches still costs the product of the two sides
+of a list, but no row, text or shuffle for each pair.
 
 Defined cases: texts without words are copies of each other; a text of fewer than
 ``SHINGLE`` words is one shingle; a text of any length gives all its shingles; equal rows
@@ -209,20 +208,18 @@ def busy(members: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """All pairs of texts that are not both busy; each busy text with the two members it shares most lists with, of those drawn."""
+    """All pairs of texts that are not both busy; each busy text with the two members drawn from its longest list."""
     few, long = members.where(F.col("n") <= LONG_LIST), members.where(F.col("n") > LONG_LIST)
     pairs = _pairs(few, few, (F.col("fp") > F.col("other_fp")) & ~(F.col("busy") & F.col("other_busy")))
-    weights = long.groupBy(F.col("fp").alias("w")).agg(F.sum("n").alias("weight"))
-    weighed = long.join(broadcast_if_small(materialize(weights)), F.col("fp") == F.col("w"))
+    own = long.groupBy("fp").agg(F.sum("n").alias("weight"), F.max(F.struct("n", "k")).alias("longest"), F.collect_list("k").alias("ks"))
+    own = materialize(own)
     most, first = F.max_by("fp", F.struct("weight", "fp")), F.min_by("fp", F.xxhash64("fp"))
-    chosen = materialize(weighed.groupBy(F.col("k").alias("ok")).agg(most.alias("r0"), first.alias("r1")))
-    held = long.join(broadcast_if_small(chosen), F.col("k") == F.col("ok"))
-    drawn = []
-    for r in ("r0", "r1"):
-        times = held.where(F.col("fp") != F.col(r)).groupBy("fp", F.col(r).alias("r")).agg(F.count("*").alias("c"))
-        best = times.groupBy("fp").agg(F.max_by("r", F.struct("c", "r")).alias("r"))
-        drawn.append(best.select(F.greatest("fp", "r").alias("a"), F.least("fp", "r").alias("b")))
-    return pairs.unionByName(drawn[0]).unionByName(drawn[1]).distinct()
+    weighed = own.select(F.explode("ks").alias("ok"), "fp", "weight")
+    chosen = materialize(weighed.groupBy("ok").agg(most.alias("r0"), first.alias("r1")))
+    # One row a text, not one an entry, of which a text has up to len(GROUPS).
+    held = own.select("fp", F.col("longest.k").alias("k")).join(broadcast_if_small(chosen), F.col("k") == F.col("ok"))
+    drawn = held.select("fp", F.explode(F.array("r0", "r1")).alias("r")).where(F.col("fp") != F.col("r"))
+    return pairs.unionByName(drawn.select(F.greatest("fp", "r").alias("a"), F.least("fp", "r").alias("b"))).distinct()
 
 
 def unconnected(members: DataFrame, links: DataFrame, docs: DataFrame, text: str) -> DataFrame | None:

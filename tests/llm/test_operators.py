@@ -927,3 +927,28 @@ def test_shared_lists_across_batches(seed):
     got = [x for b in near_copies._met(iter(batches)) for x in b.column(0).to_pylist()]
     of = Counter((v >> 31).tolist())
     assert got == sorted({x for x in v.tolist() if of[x >> 31] > 1})
+
+
+def joined_rows(df):
+    """How many rows the joins of a query that has run have made."""
+
+    def rows(node):
+        name = node.getClass().getSimpleName()
+        inner = {"AdaptiveSparkPlanExec": "executedPlan", "ReusedExchangeExec": "child"}.get(name, "plan" if "QueryStage" in name else None)
+        if inner:
+            return rows(getattr(node, inner)())
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+        return own + sum(rows(node.children().apply(i)) for i in range(node.children().size()))
+
+    df.collect()
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("lists", [60, 120])
+def test_busy_texts_are_drawn_in_one_row_each(spark, lists):
+    texts, listed = 50, near_copies.LONG_LIST + 8
+    rows = [(k, (k + i) % texts, 9, 0, listed, True) for k in range(lists) for i in range(listed)]
+    found = near_copies.candidates(frame(spark, rows, "k long, fp long, size int, b0 long, n long, busy boolean"))
+    assert joined_rows(found) <= texts
+    pairs = {(r.a, r.b) for r in found.collect()}
+    assert {x for p in pairs for x in p} == set(range(texts)) and len(pairs) <= 2 * texts
